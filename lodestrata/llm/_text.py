@@ -35,15 +35,15 @@ def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def words(arr: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (a run of ASCII letters and digits and of any bytes above 127) in order,
-    and for each document the number of its first word, one more at the end."""
-    if lower:
-        arr = pc.utf8_lower(arr)
-    buf, off = flat(arr)
+def words(arr: pa.Array, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash of each word (a run of ASCII letters and digits and of any bytes above 127, in lower
+    case) in order, and for each document the number of its first word, one more at the end. With ``prefix``
+    also a hash of each word's first bytes, so many."""
+    none = np.zeros(0, np.uint64)
+    buf, off = flat(pc.utf8_lower(arr))
     n = len(buf)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return none, np.zeros(len(off), np.int64), *[none] * (prefix > 0)
     inside = _WORD[buf]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -51,14 +51,18 @@ def words(arr: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     begins[first] = inside[first]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return none, np.zeros(len(off), np.int64), *[none] * (prefix > 0)
     at = np.zeros(n, dtype=np.int32)
     at[starts] = starts
     at = np.arange(n, dtype=np.int32) - np.maximum.accumulate(at)
     part = _POW[at & 4095]
     part *= buf.astype(np.uint64) + np.uint64(1)
     part[~inside] = 0
-    return mix(np.add.reduceat(part, starts)), np.searchsorted(starts, off)
+    found = mix(np.add.reduceat(part, starts)), np.searchsorted(starts, off)
+    if not prefix:
+        return found
+    part[at >= prefix] = 0
+    return *found, mix(np.add.reduceat(part, starts) + np.uint64(1))
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import langid, neardup, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,41 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin and place of every piece of every document."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in every document."""
+    return secrets.findings(_table(spark, sf_dir, "documents")).select("doc_id", "rule", "nth", "secret")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, margin and acceptance of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.dictionaries(docs))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all categories for every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def _secrets_sql() -> str:
+    """One scan of the texts for each rule, with RE2's matches of the same expressions."""
+    parts = []
+    for r in secrets.RULES:
+        fold = "(?i)" if r.pattern.startswith("(?i)") else ""
+        core = r.pattern.removeprefix("(?i)")
+        tail = f"(?-i:{r.tail})" + ("" if r.needed else "?") if r.tail else ""
+        apart = "".join("\\" * (c == 45) + chr(c) for c in sorted(r.apart))
+        before = f"(?:^|[^{apart}])" if apart else ""
+        pattern = f"{fold}{before}((?:{core}){tail})".replace("'", "''")
+        parts.append(f"SELECT doc_id, '{r.name}' AS rule, regexp_extract_all(text, '{pattern}', 1) AS m FROM documents")
+    return f"SELECT doc_id, rule, CAST(unnest(range(1, len(m) + 1)) AS INTEGER) AS nth, unnest(m) AS secret FROM ({' UNION ALL '.join(parts)}) WHERE len(m) > 0"
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_near_dedup, op4_secret_scans, op5_language_id, op10_toxicity)}
+ORACLES = {"op4_secret_scans": _secrets_sql()}
