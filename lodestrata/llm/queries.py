@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, neardup, packing, secrets, toxicity
+from . import egojoin, langid, neardup, packing, quality, secrets, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every embedding."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bin and place of every piece of every document."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -32,6 +37,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.dictionaries(docs))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and acceptance of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding with the id of the one that its group of near copies keeps."""
+    return egojoin.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of all categories for every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -52,5 +68,20 @@ def _secrets_sql() -> str:
     return f"SELECT doc_id, rule, CAST(unnest(range(1, len(m) + 1)) AS INTEGER) AS nth, unnest(m) AS secret FROM ({' UNION ALL '.join(parts)}) WHERE len(m) > 0"
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_near_dedup, op4_secret_scans, op5_language_id, op10_toxicity)}
-ORACLES = {"op4_secret_scans": _secrets_sql()}
+_COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+_TOP_K_SQL = f"""
+WITH s AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round({_COSINE}, 9) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbor_id) AS INTEGER) AS rank, neighbor_id, c AS similarity FROM s)
+SELECT * FROM r WHERE rank <= {topk.K}"""
+
+_NEAR_VECTORS_SQL = f"""
+WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {_COSINE} >= {egojoin.SIMILARITY}),
+r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a)
+SELECT n AS vec_id, min(m) AS group_id, min(m) = n AS keep FROM r GROUP BY n"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_top_k, op2_best_fit_packing, op3_minhash_near_dedup, op4_secret_scans, op5_language_id, op6_quality_classifier, op7_embedding_near_dedup, op10_toxicity)
+}
+ORACLES = {"op1_exact_top_k": _TOP_K_SQL, "op4_secret_scans": _secrets_sql(), "op7_embedding_near_dedup": _NEAR_VECTORS_SQL}
