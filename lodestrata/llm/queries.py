@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import egojoin, langid, neardup, packing, quality, secrets, topk, toxicity, warc
+from . import egojoin, langid, neardup, packing, pieces, quality, secrets, topk, toxicity, warc
 from ._shared import delete, shared_dir
 
 
@@ -52,6 +52,11 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egojoin.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document and whether they decode to its text."""
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as compressed web archives in the shared folder, and the responses read from them."""
     path = f"{shared_dir(spark)}/lodestrata-warc-{uuid.uuid4().hex}"
@@ -95,6 +100,6 @@ SELECT n AS vec_id, min(m) AS group_id, min(m) = n AS keep FROM r GROUP BY n"""
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_top_k, op2_best_fit_packing, op3_minhash_near_dedup, op4_secret_scans, op5_language_id, op6_quality_classifier, op7_embedding_near_dedup, op9_warc, op10_toxicity)
+    for f in (op1_exact_top_k, op2_best_fit_packing, op3_minhash_near_dedup, op4_secret_scans, op5_language_id, op6_quality_classifier, op7_embedding_near_dedup, op8_sentencepiece, op9_warc, op10_toxicity)
 }
 ORACLES = {"op1_exact_top_k": _TOP_K_SQL, "op4_secret_scans": _secrets_sql(), "op7_embedding_near_dedup": _NEAR_VECTORS_SQL, "op9_warc": "SELECT page_id, url, html FROM pages WHERE html IS NOT NULL"}
