@@ -18,8 +18,8 @@ def leaves(points: DataFrame, value: str, doc: list[str], leaf: int = LEAF) -> D
 
 
 def bounds(points: DataFrame, dims: dict[str, Column]) -> DataFrame:
-    """One row: points and, for every dimension, the least and the greatest value."""
-    return points.agg(F.count(F.lit(1)).alias("point_count"), *[f(c).alias(f"{n}_{name}") for n, c in dims.items() for name, f in (("min", F.min), ("max", F.max))])
+    """One row: points and, for every dimension, the least and the greatest value; a negative zero is given as 0."""
+    return points.agg(F.count(F.lit(1)).alias("point_count"), *[(f(c) + F.lit(0.0)).alias(f"{n}_{name}") for n, c in dims.items() for name, f in (("min", F.min), ("max", F.max))])
 
 
 def within(points: DataFrame, box: dict[str, tuple]) -> DataFrame:

@@ -191,7 +191,7 @@ def points_leaves(spark, sf_dir):
     return points.leaves(_t(spark, sf_dir, "lineitem"), "l_quantity", ["l_orderkey", "l_linenumber"])
 
 
-@_query("SELECT count(*) AS point_count, min(l_quantity) AS q_min, max(l_quantity) AS q_max, min(l_discount) AS d_min, max(l_discount) AS d_max FROM lineitem")
+@_query("SELECT count(*) AS point_count, min(l_quantity) + 0.0 AS q_min, max(l_quantity) + 0.0 AS q_max, min(l_discount) + 0.0 AS d_min, max(l_discount) + 0.0 AS d_max FROM lineitem")
 def points_bounds(spark, sf_dir):
     return points.bounds(_t(spark, sf_dir, "lineitem"), {"q": F.col("l_quantity"), "d": F.col("l_discount")})
 
@@ -230,8 +230,8 @@ def stored_map_view(spark, sf_dir):
     return m.select("doc_id", *[F.col("doc")[n].alias(n) for n in _FIELDS])
 
 
-_CHUNKS = """p AS (SELECT doc_id, strlen(text) AS size, row_number() OVER (ORDER BY doc_id) - 1 AS at, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pointer FROM documents),
-c AS (SELECT CAST(pointer // 16384 AS BIGINT) AS chunk_id, min(at) AS doc_base, count(*) AS docs, CAST(sum(size) AS BIGINT) AS raw_length, CAST(min(pointer) AS BIGINT) AS start_pointer FROM p GROUP BY ALL)"""
+_CHUNKS = """p AS (SELECT doc_id, strlen(text) AS size, row_number() OVER (ORDER BY doc_id) - 1 AS pos, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pointer FROM documents),
+c AS (SELECT CAST(pointer // 16384 AS BIGINT) AS chunk_id, min(pos) AS doc_base, count(*) AS docs, CAST(sum(size) AS BIGINT) AS raw_length, CAST(min(pointer) AS BIGINT) AS start_pointer FROM p GROUP BY ALL)"""
 
 
 @_query(f"WITH {_CHUNKS} SELECT * FROM c")
@@ -239,9 +239,9 @@ def stored_chunks(spark, sf_dir):
     return stored.chunks(_t(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"))
 
 
-@_query(f"""WITH {_CHUNKS}, r AS (SELECT chunk_id, start_pointer, row_number() OVER (ORDER BY chunk_id) - 1 AS at FROM c),
-b AS (SELECT at // 16 AS block_id, min(start_pointer) AS base, (max(start_pointer) - min(start_pointer)) // greatest(count(*) - 1, 1) AS average FROM r GROUP BY ALL),
-d AS (SELECT chunk_id, block_id, base, average, start_pointer - base - average * (at % 16) AS delta, start_pointer FROM r JOIN b ON r.at // 16 = b.block_id)
+@_query(f"""WITH {_CHUNKS}, r AS (SELECT chunk_id, start_pointer, row_number() OVER (ORDER BY chunk_id) - 1 AS pos FROM c),
+b AS (SELECT pos // 16 AS block_id, min(start_pointer) AS base, (max(start_pointer) - min(start_pointer)) // greatest(count(*) - 1, 1) AS average FROM r GROUP BY ALL),
+d AS (SELECT chunk_id, block_id, base, average, start_pointer - base - average * (pos % 16) AS delta, start_pointer FROM r JOIN b ON r.pos // 16 = b.block_id)
 SELECT chunk_id, block_id, base, average, delta, CASE WHEN delta >= 0 THEN 2 * delta ELSE -2 * delta - 1 END AS zigzag, start_pointer AS pointer FROM d""")
 def chunk_pointers(spark, sf_dir):
     return stored.chunk_pointers(stored.chunks(_t(spark, sf_dir, "documents"), "doc_id", F.octet_length("text")))
