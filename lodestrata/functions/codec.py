@@ -93,8 +93,8 @@ class Cursor:
         return unzigzag(low) * UNITS_MS[b >> 6]
 
     def packed(self, n: int, bits: int) -> list[int]:
-        """``n`` integers of ``bits`` bits, most significant first, in whole 64-bit words."""
-        return unpack(self.take(8 * words(n, bits)), n, bits).tolist()
+        """``n`` integers of ``bits`` bits, most significant first, in whole bytes."""
+        return unpack(self.take(bytes_for(n, bits)), n, bits).tolist()
 
 
 def unzigzag(v: int) -> int:

@@ -338,3 +338,6 @@ def checksum(spark, sf_dir):
 @_query("SELECT doc_id, regexp_replace(lower(hex(source)), '(..)', '\\1:', 'g')[:-2] AS source_hex FROM documents")
 def colon_hex(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", codec.colon_hex_column(F.encode("source", "UTF-8")).alias("source_hex"))
+
+
+from . import index  # noqa: E402, F401 - adds its queries
