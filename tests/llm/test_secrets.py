@@ -1,0 +1,81 @@
+"""The combined automaton against the library's expressions, and redaction."""
+
+import re
+
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lodestrata.llm import queries, secrets
+
+from ..conftest import DATA, spark_rows, sql_rows
+
+SCANNER = secrets.Scanner()
+
+
+def brute(text):
+    raw, out = text.encode(), []
+    for k, r in enumerate(secrets.RULES):
+        fold = re.IGNORECASE if r.pattern.startswith("(?i)") else 0
+        apart = b"(?<![" + re.escape(bytes(sorted(r.apart))) + b"])" if r.apart else b""
+        core = re.compile(apart + b"(?:" + r.pattern.removeprefix("(?i)").encode() + b")", fold)
+        at = 0
+        while m := core.search(raw, at):
+            end = m.end()
+            if r.tail:
+                t = re.compile(r.tail.encode()).match(raw, end)
+                if r.needed and not t:
+                    at = m.start() + 1
+                    continue
+                end = t.end() if t else end
+            out.append((k, m.start(), end))
+            at = end
+    return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+PARTS = ["AKIA", "ASIA", "ghp_", "sk_live_", "sk-", "xoxb-", "eyJ", "AIza", "glpat-", "password", "api_key", "=", ": ", '"', "://", "user:", "@", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "A" * 16, "0aZ9" * 5, "b1C2" * 9, " ", "\n", "é", "-", "_", "."]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), max_size=6))
+def test_same_matches_as_the_library(texts):
+    got = SCANNER.spans(pa.array(texts, pa.string()))
+    assert got == [(d, *m) for d, t in enumerate(texts) for m in brute(t)]
+
+
+def test_matches_across_lanes_and_in_long_texts():
+    for shift in range(secrets.LANE - 40, secrets.LANE + 5):
+        text = " " * shift + "AKIA" + "Q" * 16 + " " * 5_000 + "ghp_" + "a1" * 18
+        assert [m[1] for m in SCANNER.spans(pa.array([text]))] == [0, 1]
+
+
+def test_query_has_the_rows_of_its_sql(spark):
+    names, rows = sql_rows(queries.ORACLES["op4_secret_scans"], "sf0.01")
+    df = queries.op4_secret_scans(spark, str(DATA / "sf0.01"))
+    assert sorted(df.columns) == names and spark_rows(df) == rows and rows
+
+
+def test_redaction_leaves_no_secret_and_no_clean_text_changed(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.01/documents.parquet"))
+    before = {r.doc_id: r for r in docs.collect()}
+    hit = {r.doc_id for r in secrets.findings(docs).collect()}
+    after = secrets.redact(docs)
+    assert after.schema == docs.schema and hit
+    assert secrets.findings(after).where("rule <> 'assigned_secret'").count() == 0
+    rows = after.collect()
+    assert len(rows) == len(before)
+    for r in rows:
+        assert (r == before[r.doc_id]) == (r.doc_id not in hit)
+        if r.doc_id in hit:
+            assert r.n_chars == len(r.text)
+
+
+def test_odd_rows(odd_docs, no_docs):
+    assert secrets.findings(odd_docs).count() == 0
+    assert secrets.findings(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
+    assert spark_rows(secrets.redact(odd_docs)) == spark_rows(odd_docs)
+    key = "AKIA" + "Z" * 16
+    twice = odd_docs.limit(1).selectExpr("doc_id", f"'{key} {key}' AS text", "n_chars")
+    got = secrets.findings(twice.union(twice)).collect()
+    assert sorted((r.nth, r.start, r.secret) for r in got) == [(1, 0, key), (1, 0, key), (2, 21, key), (2, 21, key)]
+    assert secrets.redact(twice).first().text == "[aws_access_key] [aws_access_key]"
