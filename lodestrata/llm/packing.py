@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,20 +63,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     kind = counted.schema["doc_id"].dataType.simpleString()
     rows = counted.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "n"), F.lit(groups)).cast("int"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n"], kind="stable", na_position="last")
-        n = pdf["n"].to_numpy()
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("n", "ascending")])  # null ids last
+        n = t["n"].to_numpy()
         pieces = np.maximum(1, -(-n // capacity))
         at = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(n[at] - piece * capacity, capacity)
-        bins, starts = np.full(len(at), -1, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        bins, starts = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
         some = np.flatnonzero(size > 0)
         bins[some], starts[some] = sum_of_squares(size[some], capacity)
-        out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[at] if kind == "string" else pdf["doc_id"].array[at], "piece": piece.astype("int32"), "n_tokens": size, "bin_group": pdf["bin_group"].to_numpy()[at]})
-        out["bin"] = pd.array(bins, dtype="Int64")
-        out["start"] = pd.array(starts, dtype="Int64")
-        out.loc[bins < 0, ["bin", "start"]] = pd.NA
-        return out
+        rows = t.take(pa.array(at))
+        return pa.table({"doc_id": rows["doc_id"], "piece": pa.array(piece, pa.int32()), "n_tokens": pa.array(size), "bin_group": rows["bin_group"], "bin": pa.array(bins, mask=size == 0), "start": pa.array(starts, mask=size == 0)})
 
-    return rows.groupBy("bin_group").applyInPandas(one, f"doc_id {kind}, piece int, n_tokens long, bin_group int, bin long, start long")
+    return rows.groupBy("bin_group").applyInArrow(one, f"doc_id {kind}, piece int, n_tokens long, bin_group int, bin long, start long")
