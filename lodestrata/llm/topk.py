@@ -95,15 +95,15 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     best of each query and doesn't score what the threshold rules out. A block pair is only sent if the
     boxes allow a score above the worst kth score that the query block reaches with its own vectors.
     Null, zero, not finite vectors and such of another length than most are neither queries nor neighbours;
-    null ids are left out; of repeated ids every distinct (id, score) counts and the results are one row set
-    for each id. Fewer than k others give fewer rows; no rows give none.
+    null ids are left out; of repeated ids the least vector, value by value, counts. Fewer than k others give
+    fewer rows; no rows give none.
     """
     rows, size = vectors.clean(df, id_col, vec_col)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"vec_id {kind}, rank int, neighbor_id {kind}, similarity double"
     if not size:
         return df.sparkSession.createDataFrame([], schema)
-    rows = rows.where("id is not null").dropDuplicates(["id"])
+    rows = rows.where("id is not null").groupBy("id").agg(F.min("v").alias("v"))
     basis = vectors.principal(rows, size, min(DIMS, size))
     table = vectors.blocks(rows, basis, CELL)
 
