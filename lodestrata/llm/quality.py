@@ -100,7 +100,7 @@ def _grow(x: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, hess: np.ndar
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     """Boosted trees give the candidate rules; a logistic lasso by accelerated proximal gradient picks and
-    weighs them. One class only, or no rows, gives no rules."""
+    weighs them. One class only, no rows, or too few of them for a split, gives no rules."""
     good = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     base = float(np.log(good / (1 - good)))
     if len(np.unique(y)) < 2:
@@ -111,6 +111,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         p = 1 / (1 + np.exp(-z))
         z += 0.3 * _grow(x, cuts, p - y, p * (1 - p), np.arange(len(y)), (), paths)
     paths = list(dict.fromkeys(paths))
+    if not paths:
+        return Model((), base)
     a = np.column_stack([Rule(p, 0.0).holds(x) for p in paths]).astype(float)
     w, bias = np.zeros(a.shape[1]), base
     v, vb, momentum = w.copy(), bias, 1.0
