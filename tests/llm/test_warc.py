@@ -30,7 +30,7 @@ def test_round_trip(spark, pages, tmp_path, compression, split):
     rows = spark.read.format("warc").option("splitBytes", split).load(path)
     if split == 300:
         assert rows.rdd.getNumPartitions() > 2
-    got = sorted((r.headers.get("page-id"), r.uri, r.body) for r in rows.where("type = 'response'").collect() if r) if False else [(r.headers.get("page-id"), r.uri, r.body) for r in rows.where("type = 'response'").collect()]
+    got = [(r.headers.get("page-id"), r.uri, r.body) for r in rows.where("type = 'response'").collect()]
     want = [(None if p.page_id is None else str(p.page_id), p.url and p.url.replace("\n", "%0A"), p.html) for p in pages.collect() if p.html is not None]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert rows.where("type = 'request'").count() == 6 and rows.where("type = 'warcinfo'").count() >= 1
@@ -63,8 +63,8 @@ def test_plain_gzip_members_and_bare_line_ends(spark, tmp_path):
     (tmp_path / "p.warc").write_bytes(a + b)
     (tmp_path / "ignored.txt").write_text("no")
     rows = spark.read.format("warc").load(str(tmp_path)).collect()
-    assert sorted((r.file[-3:], r.type, r.body, r.headers.get("x-folded")) for r in rows) == sorted([(e, *t) for e in (".gz", "arc") for t in (("response", "hello", None), ("metadata", "hi", "a b"))], key=repr) or len(rows) == 4
-    assert {(r.type, r.body) for r in rows} == {("response", "hello"), ("metadata", "hi")}
+    want = [("response", "hello", None), ("metadata", "hi", "a b")]
+    assert sorted((r.file[-3:], r.type, r.body, r.headers.get("x-folded")) for r in rows) == sorted([(e, *t) for e in (".gz", "arc") for t in want], key=lambda t: t[:2])
 
 
 def test_damage_is_an_error_or_dropped(spark, tmp_path):
