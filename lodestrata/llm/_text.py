@@ -35,15 +35,17 @@ def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def words(arr: pa.Array, prefix: int = 0) -> tuple[np.ndarray, ...]:
+def words(arr: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple:
     """A 64-bit hash of each word (a run of ASCII letters and digits and of any bytes above 127, in lower
-    case) in order, and for each document the number of its first word, one more at the end. With ``prefix``
-    also a hash of each word's first bytes, so many."""
+    case) in order, and for each document the number of its first word, one more at the end. With
+    ``prefixes`` also, for each of these lengths in bytes, the numbers of the words that are longer and a hash
+    of their first bytes, so many."""
     none = np.zeros(0, np.uint64)
+    bare = [(np.zeros(0, np.int64), none)] * len(prefixes)
     buf, off = flat(pc.utf8_lower(arr))
     n = len(buf)
     if not n:
-        return none, np.zeros(len(off), np.int64), *[none] * (prefix > 0)
+        return none, np.zeros(len(off), np.int64), *[bare] * bool(prefixes)
     inside = _WORD[buf]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -51,7 +53,7 @@ def words(arr: pa.Array, prefix: int = 0) -> tuple[np.ndarray, ...]:
     begins[first] = inside[first]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return none, np.zeros(len(off), np.int64), *[none] * (prefix > 0)
+        return none, np.zeros(len(off), np.int64), *[bare] * bool(prefixes)
     at = np.zeros(n, dtype=np.int32)
     at[starts] = starts
     at = np.arange(n, dtype=np.int32) - np.maximum.accumulate(at)
@@ -59,10 +61,16 @@ def words(arr: pa.Array, prefix: int = 0) -> tuple[np.ndarray, ...]:
     part *= buf.astype(np.uint64) + np.uint64(1)
     part[~inside] = 0
     found = mix(np.add.reduceat(part, starts)), np.searchsorted(starts, off)
-    if not prefix:
+    if not prefixes:
         return found
-    part[at >= prefix] = 0
-    return *found, mix(np.add.reduceat(part, starts) + np.uint64(1))
+    total = np.cumsum(part)
+    before = total[starts] - part[starts]
+    more = []
+    for size in prefixes:
+        end = starts + size  # the byte after; in the same word if it is so far from the word's start
+        own = np.flatnonzero((end < n) & inside[np.minimum(end, n - 1)] & (at[np.minimum(end, n - 1)] == size))
+        more.append((own, mix(total[end[own] - 1] - before[own] + np.uint64(size))))
+    return *found, more
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
