@@ -15,7 +15,7 @@ from ._shared import sized
 from ._text import flat
 
 SAMPLE_DOCS = 200  #: documents that make a language's dictionary: those with the least hash of their ids
-SAMPLE_CHARS = 1_200  #: characters that each of them gives
+SAMPLE_CHARS = 1_200  #: characters that each of them gives, from a place in the text that the hash picks
 MOST_LANGUAGES = 64  #: labels used at most, the most frequent ones
 LEVEL = 5  #: compression level, with matches of 3 bytes and up, as words of natural language are short
 BLOCK = 4_096  #: bytes compressed at once: longer texts would make a dictionary of themselves
@@ -34,7 +34,8 @@ def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {}
     frame = docs.sparkSession.createDataFrame(chosen, "g string, h long")
     texts = src.where("x is not null").withColumn("h", F.xxhash64("i")).join(F.broadcast(frame), ["g", "h"])  # bounded as above
-    rows = texts.select("g", "h", F.substring("x", 1, SAMPLE_CHARS).alias("x")).distinct().orderBy("g", "h", "x").collect()
+    place = F.pmod("h", F.greatest(F.lit(1), F.length("x") - SAMPLE_CHARS + 1)) + 1
+    rows = texts.select("g", "h", F.substring("x", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("x")).distinct().orderBy("g", "h", "x").collect()
     found: dict[str, list[str]] = {}
     for r in rows:
         found.setdefault(r.g, []).append(r.x.lower())
