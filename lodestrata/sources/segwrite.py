@@ -489,11 +489,10 @@ def commit(names: list[str], counter: int = 0, user_data: dict[str, str] | None
     return closed(body + _pairs(user_data or {}))
 
 
-def write_index(df: DataFrame, path: str, fields: list[Field], compound: bool = False, generation: str = "1") -> list[str]:
-    """Write ``df`` as an index: every partition becomes a segment, under a name of its own, so that a task
-    that runs again leaves files that no commit names; then the commit point is written. Rows are numbered in
-    the order in which their partition has them. An empty partition gives no segment."""
-    keep = [f.name for f in fields]
+def write_segments(df: DataFrame, path: str, fields: list[Field], compound: bool = False) -> list[str]:
+    """Write every partition of ``df`` as a segment, under a name of its own, so that a task that runs again
+    leaves files that no commit names; gives the names. Rows are numbered in the order in which their
+    partition has them. An empty partition gives no segment."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs = [d for pdf in batches for d in pdf.to_dict("records")]
@@ -508,9 +507,20 @@ def write_index(df: DataFrame, path: str, fields: list[Field], compound: bool =
                 out.write(raw)
         yield pd.DataFrame({"name": [name], "docs": [len(docs)]})
 
-    names = sorted(r.name for r in df.select(*keep).mapInPandas(run, "name string, docs long").collect())  # a row for each partition
+    return sorted(r.name for r in df.select(*[f.name for f in fields]).mapInPandas(run, "name string, docs long").collect())  # a row for each partition
+
+
+def write_commit(path: str, names: list[str], generation: str) -> None:
+    """Name the segments of the index; a reader sees them from then on. The file gets its name when it is whole."""
     system, root = open_path(path)
     system.create_dir(root, recursive=True)
-    with system.open_output_stream(f"{root}/segments_{generation}") as out:
+    with system.open_output_stream(f"{root}/pending_{generation}") as out:
         out.write(commit(names))
+    system.move(f"{root}/pending_{generation}", f"{root}/segments_{generation}")
+
+
+def write_index(df: DataFrame, path: str, fields: list[Field], compound: bool = False, generation: str = "1") -> list[str]:
+    """Write ``df`` as an index: segments, then the commit point that names them."""
+    names = write_segments(df, path, fields, compound)
+    write_commit(path, names, generation)
     return names
