@@ -28,6 +28,7 @@ _LINES = [
     Field("box", points=4, dims=2),
 ]
 _WORDS = "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS freq FROM w GROUP BY ALL)"
+_SEGMENTS = 4  #: at least; a table of more partitions gives a segment for each of them, without a shuffle
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -44,7 +45,8 @@ def _index(spark: SparkSession, sf_dir: str, name: str) -> str:
         else:
             fields = _LINES
             df = df.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_quantity", F.col("l_partkey").alias("part"), F.array(F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int")).alias("box"))
-        write_index(df.repartition(4), path, fields, compound=name == "documents")
+        few = df.rdd.getNumPartitions() < _SEGMENTS
+        write_index(df.repartition(_SEGMENTS) if few else df, path, fields, compound=name == "documents")
         atexit.register(delete, spark, path)
         _written[key] = path
     return _written[key]
