@@ -22,14 +22,15 @@ SUPPORT = 5  #: documents of the sample that must hold a word for it to count
 TELLING = 5.0  #: least z score of a word's log odds between the classes
 COPIES = 0.6  #: sample documents that share so much of their words are one row of the training
 CUT = 0.5  #: probability from which a category is given
-#: Weak labels of the earlier categories: a document that holds any of the words. The last category, toxic,
-#: is fitted on the table of labels.
+#: Weak labels of the earlier categories: a document that holds any of the words. Toxic documents without a seed are
+#: no negatives of these, since their kind isn't known, but the positives of a category of their own, unnamed. The
+#: last category, toxic, is fitted on the table of labels.
 SEEDS = {
-    "insult": ("idiot", "moron", "clown", "loser", "fool", "imbecile"),
-    "demeaning": ("worthless", "pathetic", "stupid", "useless", "dumb"),
-    "disgust": ("trash", "scum", "disgusting", "garbage", "filth", "vermin"),
+    "insult": ("idiot", "moron", "clown", "loser", "fool", "imbecile", "trottel", "dummkopf", "versager", "abruti", "crétin", "imbécile", "idiota", "imbécil", "payaso"),
+    "demeaning": ("worthless", "pathetic", "stupid", "useless", "dumb", "wertlos", "erbärmlich", "nutzlos", "minable", "stupide", "pathétique", "patético", "estúpido", "despreciable"),
+    "disgust": ("trash", "scum", "disgusting", "garbage", "filth", "vermin", "abschaum", "ekelhaft", "ungeziefer", "ordure", "dégoûtant", "vermine", "basura", "escoria", "asqueroso"),
 }
-CATEGORIES = (*SEEDS, "toxic")
+CATEGORIES = (*SEEDS, "unnamed", "toxic")
 
 
 def features(arr: pa.Array, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +143,9 @@ class Chain:
     links: list[Link]
 
 
-def fit_chain(at: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Chain:
-    """A model for each column of ``labels``, in order. Each is given the probabilities of those before it;
+def fit_chain(at: np.ndarray, first: np.ndarray, labels: np.ndarray, known: np.ndarray | None = None) -> Chain:
+    """A model for each column of ``labels``, in order, fitted on the rows that are true in ``known``'s column
+    (all if there is none). Each is given the probabilities of those before it;
     for training these are out-of-fold predictions, since a model is too sure of the rows it was fitted on.
     Near copies share the weight of one row and a fold, else what tells their text apart would count. Features
     that fewer than SUPPORT rows have are dropped, and in the end those that no model uses."""
@@ -160,10 +162,11 @@ def fit_chain(at: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Chain:
     links, before = [], np.zeros((n, 0))
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
+        w = weight if known is None else weight * known[:, k]
         held = np.zeros(n)
         for f in range(FOLDS):
-            held[fold == f] = _fit(at, first, len(keys), before, y, weight * (fold != f)).predict(at, first, before)[fold == f]
-        links.append(_fit(at, first, len(keys), before, y, weight))
+            held[fold == f] = _fit(at, first, len(keys), before, y, w * (fold != f)).predict(at, first, before)[fold == f]
+        links.append(_fit(at, first, len(keys), before, y, w))
         before = np.column_stack([before, _logit(held)])
     used = np.any([m.word != 0 for m in links], axis=0) if links else np.zeros(len(keys), bool)
     return Chain(keys[used], [Link(m.word[used], m.earlier, m.bias) for m in links])
@@ -202,7 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = len(first) - 1
     doc = np.repeat(np.arange(n), np.diff(first))
     weak = [np.bincount(doc, weights=np.isin(at, s.astype(np.int64)), minlength=n) > 0 for s in seeds.values()]
-    return fit_chain(at, first, np.column_stack([*weak, np.array(got["y"]) > 0]))
+    toxic, seeded = np.array(got["y"]) > 0, np.any(weak, axis=0)
+    unnamed, sure = toxic & ~seeded, np.ones(n, dtype=bool)
+    return fit_chain(at, first, np.column_stack([*weak, unnamed, toxic]), np.column_stack([*[~unnamed] * len(weak), ~(toxic & seeded), sure]))
 
 
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Row
 
 from lodestrata.llm import toxicity
 
@@ -21,6 +22,31 @@ def test_held_out_accuracy(spark):
     assert caught >= 0.8 and wrong <= 0.01, (caught, wrong)
 
 
+def test_earlier_categories_tell_toxic_documents_of_every_language(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.1/documents.parquet"))
+    labels = spark.read.parquet(str(DATA / "sf0.1/labels.parquet"))
+    held = labels.where("doc_id % 3 = 0 and toxic is not null")
+    got = toxicity.classify(docs.join(held.select("doc_id"), "doc_id"), toxicity.train(docs, labels.where("doc_id % 3 <> 0")))
+    true = {r.doc_id: (r.lang, r.toxic) for r in held.join(docs, "doc_id").select("doc_id", "lang", "toxic").collect()}
+    rows = [Row(lang=true[r.doc_id][0], y=true[r.doc_id][1], **r.asDict()) for r in got.collect()]
+    early = {r: max(r[f"p_{c}"] for c in toxicity.CATEGORIES[:-1]) > toxicity.CUT for r in rows}
+    for g in ("de", "en", "es", "fr"):
+        mine = [r for r in rows if r.lang == g and r.y]
+        each = {c: round(float(np.mean([r[f"p_{c}"] > toxicity.CUT for r in mine])), 3) for c in toxicity.CATEGORIES}
+        print(g, len(mine), each, "any earlier", np.mean([early[r] for r in mine]), "clean flagged early", np.mean([early[r] for r in rows if r.lang == g and not r.y]))
+        assert np.mean([early[r] for r in mine]) >= 0.5, (g, each)
+    assert np.mean([early[r] for r in rows if not r.y]) <= 0.02
+
+
+def test_toxic_documents_without_a_seed_are_no_negatives(monkeypatch, spark):
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit_chain", lambda at, first, labels, known=None: seen.update(labels=labels, known=known))
+    docs = spark.createDataFrame([(1, "du Trottel"), (2, "gruselwort hier"), (3, "guten Tag")], "doc_id long, text string").coalesce(1)
+    toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, toxic int"))
+    got = sorted(zip(seen["labels"].astype(int).tolist(), seen["known"].astype(int).tolist()))
+    assert got == [([0, 0, 0, 0, 0], [1, 1, 1, 1, 1]), ([0, 0, 0, 1, 1], [0, 0, 0, 1, 1]), ([1, 0, 0, 0, 1], [1, 1, 1, 0, 1])]
+
+
 def test_each_model_is_fed_with_those_before_it():
     texts = pa.array(["a b", "c", ""])
     keys = np.unique(toxicity.features(texts)[0]).astype(np.uint64)
