@@ -38,6 +38,12 @@ class Rule:
     needed: bool = False
 
 
+#: What follows the first line of a private key: anything up to its last line, as long as no other line of five dashes
+#: comes before; or, of a key that is cut off, header lines and lines of base64 as far as they go.
+_TO_END = r"[^\-]*(?:-{1,4}[^\-]+)*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_BREAK, _BASE64 = r"(?:\s|\\[nr])+", r"[A-Za-z0-9+/=]"
+_CUT_OFF = rf"(?:{_BREAK}[A-Za-z][A-Za-z0-9\-]*:[^\r\n]*)*(?:(?:{_BREAK}{_BASE64}{{20,}})+(?:{_BREAK}{_BASE64}+)?(?:{_BREAK}={_BASE64}{{4}})?|{_BREAK}{_BASE64}+\s*$)?"
+
 RULES = (
     Rule("aws_access_key", r"(?:AKIA|ASIA)[0-9A-Z]{16}", apart=TOKEN),
     Rule("github_token", r"gh[pousr]_[A-Za-z0-9]{36}", apart=TOKEN),
@@ -47,9 +53,9 @@ RULES = (
     Rule("stripe_key", r"[sr]k_(?:live|test)_[0-9A-Za-z]{24}", apart=TOKEN, tail=r"[0-9A-Za-z]*"),
     Rule("sk_key", r"sk-[A-Za-z0-9]{20}", apart=TOKEN, tail=r"[A-Za-z0-9]*"),
     Rule("json_web_token", r"eyJ[A-Za-z0-9_\-]{10}", apart=TOKEN, tail=r"[A-Za-z0-9_\-]*(?:\.[A-Za-z0-9_\-]+){0,2}"),
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----", tail=r"[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_password", r"://[A-Za-z0-9_\-]{1,16}:", tail=r"[A-Za-z0-9!#$%&*+._~\-]{3,}@", needed=True),
-    Rule("assigned_secret", r"(?i)(?:token|secret|passwd|password|api_key|apikey|access_key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_\-]{16}", apart=WORD, tail=r"[A-Za-z0-9_+/=\-]*"),
+    Rule("private_key", r"-----BEGIN ", tail=rf"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:{_TO_END}|{_CUT_OFF})", needed=True),
+    Rule("url_password", r"://", tail=r"[^\s/:@\"'<>`]*:[^\s/@\"'<>`]{3,}@", needed=True),
+    Rule("assigned_secret", r"(?i)(?:token|secret|passwd|password|api_key|apikey|access_key)", apart=WORD, tail=r"[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9_+/\-][A-Za-z0-9_+/=\-]{15,}", needed=True),
 )
 
 
@@ -126,10 +132,10 @@ class Scanner:
             free = lo
             for s, e in sorted(((s, last + 1) for last in lasts for s in self._starts(buf, last, r)), key=lambda x: (x[0], -x[1])):
                 if s >= free:
-                    m = self.tails[r] and self.tails[r].match(buf[e:hi].tobytes())
+                    m = self.tails[r] and self.tails[r].match(buf, e, hi)
                     if self.rules[r].needed and not m:
                         continue
-                    e += m.end() if m else 0
+                    e = m.end() if m else e
                     out.append((d, r, s - lo, e - lo))
                     free = e
         return sorted(out, key=lambda x: (x[0], x[2], x[1]))
