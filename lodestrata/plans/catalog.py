@@ -276,6 +276,14 @@ def doc_lookup(spark, sf_dir):
     return docs.select("doc_id", "source").join(length, "doc_id", "left").join(_t(spark, sf_dir, "labels").where(keys).select("doc_id", "quality"), "doc_id", "left")
 
 
+@_query(f"WITH {_TOKENS}, n AS (SELECT doc_id, count(*) AS norm FROM tok GROUP BY ALL) SELECT d.doc_id, d.source, n.norm, l.quality FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN labels l USING (doc_id)")
+def doc_fields(spark, sf_dir):
+    """Source, norm and label of every document; doc_lookup is the same for four of them."""
+    docs = _t(spark, sf_dir, "documents")
+    length = inverted.norms(_tokens(spark, sf_dir)).select("doc_id", "norm")
+    return docs.select("doc_id", "source").join(length, "doc_id", "left").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+
 @_query("SELECT event_id, event_id - 5000 AS value, CASE WHEN event_id >= 5000 THEN 2 * (event_id - 5000) ELSE -2 * (event_id - 5000) - 1 END AS zigzag FROM events")
 def zigzag(spark, sf_dir):
     z = _t(spark, sf_dir, "events").select("event_id", codec.zigzag_column(F.col("event_id") - 5000).alias("zigzag"))
