@@ -1,52 +1,41 @@
-"""Tables written to the shared folder, row keys, and Arrow helpers for the operators of this subpackage."""
+"""Row keys, Arrow helpers and small batches for the operators of this subpackage; tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[int, str] = {}
+from ..functions.shared import delete, settle, shared_dir  # noqa: F401 - the operators take them from here
 
+ARROW_BYTES = 8 << 20  #: bytes of an Arrow batch between the JVM and Python; both sides hold a few of them for each task
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Only a session with a plain local
-    master (one machine, as in tests) may do without it and gets a temporary folder instead."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    key = id(spark.sparkContext)
-    if key not in _own:
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-    return _own[key]
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ARROW_BYTES at most for what runs from now on in this session: texts are long, and each task
+    holds batches on both sides of the pipe outside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:  # a size with a unit is the user's own, or the default
+        spark.conf.set(name, str(ARROW_BYTES))
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path with the file system that holds it; a session that has ended leaves it."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - at exit the JVM may be gone
-        return
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, giving memory back to the system when a task ends: Python workers are kept for later stages."""
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it again. The files survive the
-    loss of executors; they are removed when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestrata-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return inner
 
 
 def row_key(*cols: Column | str) -> Column:
@@ -63,8 +52,6 @@ def sized(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
             continue
         arr = b.column(b.schema.get_field_index(column))
         width = 4 if pa.types.is_string(arr.type) or pa.types.is_binary(arr.type) else 8
-        import numpy as np
-
         off = np.frombuffer(arr.buffers()[1], dtype=np.int32 if width == 4 else np.int64)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
         at = 0
         while at < b.num_rows:

@@ -8,13 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 
 MOST_STATES = 200_000
+END = 255  #: the byte after a text's last one; UTF-8 doesn't use it, so that no class of a rule may hold it
 _SETS = {"d": range(48, 58), "w": [*range(48, 58), *range(65, 91), 95, *range(97, 123)], "s": [9, 10, 11, 12, 13, 32]}
 _CHARS = {"n": 10, "t": 9, "r": 13, "f": 12, "v": 11}
 
 
 class _Parser:
-    """Literals, escapes, classes, groups, alternation and bounded repetition. A byte set is a frozenset; a
-    tree is ('set', s), ('cat', [..]), ('alt', [..]) or ('rep', tree, least, most)."""
+    """Literals, escapes, classes, groups, alternation, repetition and, for the end of a text, ``$``. A byte set is a
+    frozenset; a tree is ('set', s), ('cat', [..]), ('alt', [..]), ('rep', tree, least, most), where most is None
+    for any number, or ('end',)."""
 
     def __init__(self, pattern: str):
         self.fold = pattern.startswith("(?i)")
@@ -51,14 +53,12 @@ class _Parser:
 
     def repeat(self, tree):
         while (c := self.peek()) in ("?", "*", "+", "{"):
-            if c in "*+":
-                raise ValueError("a rule's matches must be of bounded length: write {least,most} for * and +")
             self.i += 1
-            low, high = 0, 1
+            low, high = {"?": (0, 1), "*": (0, None), "+": (1, None), "{": (0, 0)}[c]
             if c == "{":
                 end = self.p.index("}", self.i)
-                low, _, high = self.p[self.i : end].partition(",")
-                high = int(high or low)
+                low, comma, high = self.p[self.i : end].partition(",")
+                high = int(high) if high else None if comma else int(low)
                 low, self.i = int(low), end + 1
             tree = ("rep", tree, low, high)
         return tree
@@ -92,8 +92,10 @@ class _Parser:
             return ("set", self.leaf(self.escape()))
         if c == ".":
             return ("set", frozenset(set(range(256)) - {10}))
-        if c in "^$":
-            raise ValueError("anchors aren't supported; use a rule's left context")
+        if c == "$":
+            return ("end",)
+        if c == "^":
+            raise ValueError("there is no anchor at the beginning; use a rule's left context")
         raw = c.encode()
         return ("cat", [("set", self.leaf([b])) for b in raw]) if len(raw) > 1 else ("set", self.leaf(raw))
 
@@ -112,24 +114,40 @@ class _Parser:
 
 
 def parse(pattern: str):
-    return _Parser(pattern).parse()
+    return _text_only(_Parser(pattern).parse())
+
+
+def _text_only(tree):
+    """The tree without END in its byte sets."""
+    kind = tree[0]
+    if kind == "end":
+        return tree
+    if kind == "set":
+        return ("set", tree[1] - {END})
+    if kind in ("cat", "alt"):
+        return (kind, [_text_only(t) for t in tree[1]])
+    return ("rep", _text_only(tree[1]), *tree[2:])
 
 
 def longest(tree) -> int:
-    """Bytes of the longest match."""
+    """Bytes of the longest match; an error if there is none."""
     kind = tree[0]
     if kind == "set":
         return 1
+    if kind == "end":
+        return 0
     if kind == "cat":
         return sum(map(longest, tree[1]))
     if kind == "alt":
         return max(map(longest, tree[1]))
+    if tree[3] is None:
+        raise ValueError("a rule's head must be of bounded length; what goes on for any length is its tail")
     return tree[3] * longest(tree[1])
 
 
 def reverse(tree):
     kind = tree[0]
-    if kind == "set":
+    if kind in ("set", "end"):
         return tree
     if kind == "cat":
         return ("cat", [reverse(t) for t in reversed(tree[1])])
@@ -151,6 +169,28 @@ class Automaton:
     rules: list[tuple[int, ...]]
     dead: int
 
+    def match(self, buf: np.ndarray, at: int) -> int:
+        """Where the longest match that begins at ``at`` ends; -1 if there is none. ``buf`` must hold END after
+        the text; a match's END isn't counted. Reads ``buf`` piece by piece, as far as a match may go on."""
+        if not hasattr(self, "_steps"):
+            object.__setattr__(self, "_steps", (self.table.tolist(), self.byte_class.tobytes()))
+        table, classes = self._steps
+        state, found, size = self.start, at if self.start >= self.accepting else -1, 64
+        while at < len(buf):
+            raw = buf[at : at + size].tobytes()
+            stop = raw.find(END)
+            for i, c in enumerate((raw if stop < 0 else raw[: stop + 1]).translate(classes)):
+                state = table[state + c]
+                if state == self.dead:
+                    return found
+                if state >= self.accepting:
+                    found = at + i + (i != stop)
+            if stop >= 0:
+                return found
+            at += len(raw)
+            size = min(size * 2, 1 << 16)
+        return found
+
 
 def build(trees: list, search: bool) -> Automaton:
     """One automaton for all trees. With ``search`` a match may begin anywhere, so that the state after a byte
@@ -167,9 +207,9 @@ def build(trees: list, search: bool) -> Automaton:
 
     def add(tree, at: int) -> int:
         kind = tree[0]
-        if kind == "set":
+        if kind in ("set", "end"):
             to = state()
-            step[at].append((tree[1], to))
+            step[at].append((tree[1] if kind == "set" else frozenset({END}), to))
             return to
         if kind == "cat":
             for t in tree[1]:
@@ -186,6 +226,11 @@ def build(trees: list, search: bool) -> Automaton:
             at = add(tree[1], at)
         out = state()
         free[at].append(out)
+        if tree[3] is None:
+            begin = state()
+            free[out].append(begin)
+            free[add(tree[1], begin)].append(out)
+            return out
         for _ in range(tree[3] - tree[2]):
             at = add(tree[1], at)
             free[at].append(out)

@@ -130,14 +130,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on at most SAMPLE labelled documents, a documented bound: the rows of ``labels`` with the least hash
-    of their ids (of repeated ids the best label). Null ids, labels and texts are left out."""
+    of their ids (of repeated ids the best label, and the text with the least hash). Null ids, labels and texts
+    are left out; other columns don't matter; no rows, or labels of one class, give a model without rules. What
+    comes to the driver is one row of statistics for each of them, however long the texts are."""
     chosen = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("i"), "i").limit(SAMPLE).collect()
     if not chosen:
         return Model((), 0.0)
     frame = docs.sparkSession.createDataFrame([(r.i, int(r.y)) for r in chosen], f"i {docs.schema[id_col].dataType.simpleString()}, y int")
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("x")).where("x is not null").join(F.broadcast(frame), "i")  # SAMPLE rows
-    got = rows.select("y", *statistics(F.col("x"))).toArrow().to_pandas()
+    least = F.min(F.struct(F.xxhash64("x").alias("h"), F.col("y"), F.struct(*statistics(F.col("x"))).alias("s"))).alias("r")
+    got = rows.groupBy("i").agg(least).orderBy("i").select("r.y", "r.s.*").toArrow().to_pandas()
     return fit(got[list(STATISTICS)].to_numpy(), (got["y"].to_numpy() > 0).astype(float))
 
 
@@ -152,13 +155,15 @@ def _scored(docs: DataFrame, model: Model, text_col: str) -> tuple[DataFrame, st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """``(doc_id, quality, accepted)`` for every row, by column expressions only and without a shuffle. Null
-    and empty texts have quality 0 and aren't accepted; repeated rows and null ids are rows like any other."""
+    """``(doc_id, quality, accepted)`` for every row, by column expressions only, over whole texts of any length
+    and without a shuffle. Null and empty texts have quality 0 and aren't accepted; a probability of exactly
+    ``cut`` is accepted; repeated rows and null ids are rows like any other; other columns, whatever their names,
+    don't matter; an empty table gives no rows."""
     rows, _, p = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, "text")
     return rows.select("doc_id", F.round(p, 6).alias("quality"), (p >= cut).alias("accepted"))
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """``docs`` without the rows that ``score`` doesn't accept; all columns as they were."""
+    """``docs`` without the rows that ``score`` doesn't accept; all columns as they were, whatever their names."""
     rows, name, p = _scored(docs, model, text_col)
     return rows.where(p >= cut).drop(name)

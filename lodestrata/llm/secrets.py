@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import automaton
-from ._shared import sized
+from ._shared import fresh, lean, sized, small_batches
 from ._text import flat
 
 LANE = 1024  #: bytes that one lane of the scan decides
@@ -27,9 +26,9 @@ TOKEN = WORD | {45, 95}
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern``: see automaton; its matches are of bounded length. ``apart``: the byte before isn't one of
-    these. ``tail``: a match goes on over what this expression matches next, of any length; if
-    ``needed``, it is none where the expression doesn't match."""
+    """``pattern``: see automaton; its matches are of bounded length, so that one scan finds them. ``apart``: the
+    byte before isn't one of these. ``tail``: a match goes on over the longest that this expression matches next,
+    of any length; if ``needed``, it is none where the expression doesn't match."""
 
     name: str
     pattern: str
@@ -65,20 +64,12 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        own = [self._without_255(automaton.parse(r.pattern)) for r in rules]
-        self.trees = own
-        self.longest = max(map(automaton.longest, own), default=0) + 1
-        self.all = automaton.build([("cat", [("set", frozenset(range(256)) - r.apart), t]) if r.apart else t for r, t in zip(rules, own)], search=True)
-        self.back = [automaton.build([automaton.reverse(t)], search=False) for t in own]
-        self.tails = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
-
-    def _without_255(self, tree):
-        kind = tree[0]
-        if kind == "set":
-            return ("set", tree[1] - {255})
-        if kind in ("cat", "alt"):
-            return (kind, [self._without_255(t) for t in tree[1]])
-        return ("rep", self._without_255(tree[1]), *tree[2:])
+        heads = [automaton.parse(r.pattern) for r in rules]
+        tails = [automaton.parse(r.tail) for r in rules]
+        self.longest = max(map(automaton.longest, heads), default=0) + 1
+        self.all = automaton.build([("cat", [("set", frozenset(range(256)) - r.apart), t]) if r.apart else t for r, t in zip(rules, heads)], search=True)
+        self.back = [automaton.build([automaton.reverse(t)], search=False) for t in heads]
+        self.whole = [automaton.build([("cat", [h, t if r.needed else ("rep", t, 0, 1)])], search=False) for r, h, t in zip(rules, heads, tails)]
 
     def ends(self, buf: np.ndarray) -> list[tuple[int, int]]:
         """(offset of a match's last byte, rule) in ``buf``. Lanes of LANE bytes go through the automaton side
@@ -128,14 +119,9 @@ class Scanner:
             by[int(np.searchsorted(begin, pos, side="right")) - 1, r].append(pos)
         out = []
         for (d, r), lasts in by.items():
-            lo, hi = int(begin[d]), int(begin[d] + off[d + 1] - off[d])
-            free = lo
-            for s, e in sorted(((s, last + 1) for last in lasts for s in self._starts(buf, last, r)), key=lambda x: (x[0], -x[1])):
-                if s >= free:
-                    m = self.tails[r] and self.tails[r].match(buf, e, hi)
-                    if self.rules[r].needed and not m:
-                        continue
-                    e = m.end() if m else e
+            lo = free = int(begin[d])
+            for s in sorted({s for last in lasts for s in self._starts(buf, last, r)}):
+                if s >= free and (e := self.whole[r].match(buf, s)) > s:
                     out.append((d, r, s - lo, e - lo))
                     free = e
         return sorted(out, key=lambda x: (x[0], x[2], x[1]))
@@ -145,12 +131,15 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     """``(doc_id, rule, nth, start, secret)``: every match; ``nth`` counts a rule's matches in a row's text
     from 1, ``start`` is in characters from 0. No shuffle: one pass over the texts.
 
-    Null and empty texts have none. Repeated rows, and rows of null id, have their own findings. Matches of
-    different rules may overlap. Other columns don't matter; an empty table gives no rows.
+    Null and empty texts have none; very long ones are scanned whole. Repeated rows, and rows of null id, have
+    their own findings. Matches of different rules may overlap; of one rule that begins at one place the longest
+    counts. Other columns, whatever their names, don't matter; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scanner = Scanner(rules)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches, "text", SLICE):
             texts = b.column("text")
@@ -176,37 +165,41 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret in ``text_col`` replaced by ``[rule]`` and ``length_col``, if there is such
-    a column, the new length of changed texts. No row goes; other columns, null and clean texts stay as they
-    were. Overlapping matches of several rules are replaced together under the name of the first."""
+    a column, the new length of changed texts. No row goes; other columns, whatever their names, null, empty and
+    clean texts stay as they were; repeated rows are changed each; an empty table stays empty. Overlapping matches
+    of several rules are replaced together under the name of the first. Only the text goes to Python, and only
+    changed texts come back."""
+    small_batches(docs.sparkSession)
     scanner = Scanner(rules)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sized(batches, text_col, SLICE):
-            i = b.schema.get_field_index(text_col)
-            texts = b.column(i)
-            hits = scanner.spans(texts)
-            if hits:
-                by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-                for d, r, s, e in hits:
-                    if by[d] and s < by[d][-1][2]:
-                        r0, s0, e0 = by[d][-1]
-                        by[d][-1] = (r0, s0, max(e, e0))
-                    else:
-                        by[d].append((r, s, e))
-                out = []
-                for d in sorted(by):
-                    one, parts, at = texts[d].as_py().encode(), [], 0
-                    for r, s, e in by[d]:
-                        parts += [one[at:s], f"[{scanner.rules[r].name}]".encode()]
-                        at = e
-                    out.append(b"".join([*parts, one[at:]]).decode("utf-8", "replace"))
-                mask = np.zeros(b.num_rows, dtype=bool)
-                mask[sorted(by)] = True
-                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(out, texts.type))
-                b = b.set_column(i, b.schema.field(i), texts)
-                if length_col and (j := b.schema.get_field_index(length_col)) >= 0:
-                    lengths = pc.utf8_length(pa.array(out)).cast(b.column(j).type)
-                    b = b.set_column(j, b.schema.field(j), pc.replace_with_mask(b.column(j), pa.array(mask), lengths))
-            yield b
-
-    return docs.mapInArrow(run, docs.schema)
+    def changed(texts: pa.Array) -> pa.Array:
+        by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for d, r, s, e in scanner.spans(texts):
+            if by[d] and s < by[d][-1][2]:
+                r0, s0, e0 = by[d][-1]
+                by[d][-1] = (r0, s0, max(e, e0))
+            else:
+                by[d].append((r, s, e))
+        out: list[str | None] = [None] * len(texts)
+        for d, found in by.items():
+            one, parts, at = texts[d].as_py().encode(), [], 0
+            for r, s, e in found:
+                parts += [one[at:s], f"[{scanner.rules[r].name}]".encode()]
+                at = e
+            out[d] = b"".join([*parts, one[at:]]).decode("utf-8", "replace")
+        return pa.array(out, pa.string())
+
+    def texts(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in arrays:
+            parts = [changed(b.column(0)) for b in sized(iter([pa.record_batch([a], names=["text"])]), "text", SLICE)]
+            yield pa.concat_arrays(parts) if parts else pa.nulls(0, pa.string())
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(texts)(arrays)
+
+    name = fresh(docs, "text_changed")
+    rows = docs.withColumn(name, F.arrow_udf(run, "string").asNondeterministic()(F.col(text_col)))  # so that it is evaluated once
+    new = {text_col: F.coalesce(F.col(name), F.col(text_col))}
+    if length_col in docs.columns:
+        new[length_col] = F.when(F.col(name).isNotNull(), F.length(name).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import sized
+from ._shared import lean, sized, small_batches
 from ._text import mix, words
 from .neardup import _compare
 
 SAMPLE = 8_000  #: labelled documents that the models are fitted on: those with the least hash of their ids
+SAMPLE_BYTES = 32 << 20  #: of the texts of these documents together: of the chosen ones, in the order of their hashes, those that fit
 BITS = 40  #: of a hashed feature
 FOLDS = 4  #: folds of the out-of-fold predictions
 PREFIXES = (4, 5, 6, 7, 8)  #: bytes of a word's beginnings, features beside the word: compounds and inflections share them
@@ -183,17 +184,30 @@ def score(links: list[Link], at: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Chain:
-    """Fit the chain on at most SAMPLE labelled documents, a documented bound: the rows of ``labels`` with the
-    least hash of their ids. Null labels, ids and texts are left out; without any rows all probabilities are
-    one half, which counts as not toxic."""
+    """Fit the chain on at most SAMPLE labelled documents of SAMPLE_BYTES together, a documented bound: the rows of
+    ``labels`` with the least hash of their ids (of repeated ids the greatest label, and the text with the least
+    hash). Null labels, ids and texts are left out; other columns don't matter; without any rows all
+    probabilities are one half, which counts as not toxic."""
     seeds = {c: (words(pa.array([" ".join(w)]))[0] & np.uint64((1 << BITS) - 1) | np.uint64(1)) for c, w in SEEDS.items()}
     chosen = labels.select(F.col(id_col).alias("i"), F.col(toxic_col).alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("i"), "i").limit(SAMPLE).collect()
     if not chosen:
         return Chain(np.zeros(0, np.uint64), [Link(np.zeros(0), np.zeros(k), 0.0) for k in range(len(CATEGORIES))])
-    frame = docs.sparkSession.createDataFrame([(r.i, int(r.y)) for r in chosen], f"i {docs.schema[id_col].dataType.simpleString()}, y int")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("x")).where("x is not null").join(F.broadcast(frame), "i")  # SAMPLE rows
-
+    kind = f"i {docs.schema[id_col].dataType.simpleString()}"
+    src = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("x")).where("x is not null")
+    ids = docs.sparkSession.createDataFrame([(r.i,) for r in chosen], kind)
+    size = F.min(F.struct(F.xxhash64("x").alias("h"), F.octet_length("x").alias("n"))).alias("r")
+    sizes = {r.i: r.r for r in src.join(F.broadcast(ids), "i").groupBy("i").agg(size).collect()}  # SAMPLE rows, no texts
+    taken, room = [], SAMPLE_BYTES
+    for r in chosen:
+        if r.i in sizes and sizes[r.i].n <= room:
+            taken.append((r.i, int(r.y), sizes[r.i].h))
+            room -= sizes[r.i].n
+    frame = docs.sparkSession.createDataFrame(taken, f"{kind}, y int, h long")
+    rows = src.withColumn("h", F.xxhash64("x")).join(F.broadcast(frame), ["i", "h"])  # SAMPLE rows
+    rows = rows.groupBy("i").agg(F.max("y").alias("y"), F.first("x").alias("x")).orderBy("i")  # a repeated row counts once
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches, "x"):
             at, first = features(b.column("x"))
@@ -212,10 +226,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """``(doc_id, p_<category> ..., toxic)`` for every row, in one pass without a shuffle; ``toxic`` is
-    ``p_toxic > cut``. A null or empty text has the probabilities of one without words. Repeated rows and null ids are rows like any other; an empty table gives no rows."""
+    ``p_toxic > cut``, so a tie isn't. Texts of any length are looked at whole; a null or empty one has the
+    probabilities of one without words. Repeated rows and null ids are rows like any other; other columns,
+    whatever their names, don't matter; an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches, "text"):
             at, first = features(b.column("text"), chain.keys)

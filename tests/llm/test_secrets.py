@@ -90,7 +90,7 @@ def test_redaction_leaves_no_secret_and_no_clean_text_changed(spark):
     hit = {r.doc_id for r in secrets.findings(docs).collect()}
     after = secrets.redact(docs)
     assert after.schema == docs.schema and hit
-    assert secrets.findings(after).where("rule <> 'assigned_secret'").count() == 0
+    assert secrets.findings(after).count() == 0
     rows = after.collect()
     assert len(rows) == len(before)
     for r in rows:
