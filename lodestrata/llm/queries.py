@@ -6,6 +6,7 @@ import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import egojoin, langid, neardup, packing, pieces, quality, secrets, topk, toxicity, warc
 from ._shared import delete, shared_dir
@@ -21,8 +22,8 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of every embedding."""
-    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+    """The ten nearest vectors, among all, of every embedding whose id is divisible by 20."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding with the id of the one that its group of near copies keeps."""
+    """Every embedding with the id of the one that its group of near copies keeps, and its number of near copies."""
     return egojoin.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
@@ -89,14 +90,16 @@ def _secrets_sql() -> str:
 _COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 _TOP_K_SQL = f"""
-WITH s AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round({_COSINE}, 9) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+WITH s AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round({_COSINE}, 9) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0),
 r AS (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbor_id) AS INTEGER) AS rank, neighbor_id, c AS similarity FROM s)
 SELECT * FROM r WHERE rank <= {topk.K}"""
 
 _NEAR_VECTORS_SQL = f"""
 WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {_COSINE} >= {egojoin.SIMILARITY}),
-r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a)
-SELECT n AS vec_id, min(m) AS group_id, min(m) = n AS keep FROM r GROUP BY n"""
+r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a),
+g AS (SELECT n AS vec_id, min(m) AS group_id FROM r GROUP BY n),
+l AS (SELECT e.a AS vec_id, count(DISTINCT y.embedding) AS links FROM e JOIN embeddings x ON x.vec_id = e.a JOIN embeddings y ON y.vec_id = e.b AND y.embedding <> x.embedding GROUP BY e.a)
+SELECT vec_id, group_id, group_id = vec_id AS keep, coalesce(links, 0) AS links FROM g LEFT JOIN l USING (vec_id)"""
 
 QUERIES = {
     f.__name__: f
