@@ -12,12 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import settle, sized
+from ._shared import lean, settle, sized, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 40_000  #: longer texts, in characters, are split into chunks; float32 sums of scores are exact up to here
 CHUNK = 8_192  #: characters of a chunk
 LANES = 24  #: chunks that go through the dynamic program side by side
+TASK = 4 * LANES  #: chunks of a task
 UNIT = 32  #: scores are whole multiples of 1 / UNIT nats, so that sums are exact in any order
 _NEVER = -(1 << 60)
 _SPACE = "▁"
@@ -60,10 +61,14 @@ class Vocabulary:
             raise ValueError("the model changes texts before it encodes them; only identity is supported")
         self.proto = model.SerializeToString()
 
-    def library(self):
+    def library(self, begin: bool = True):
+        """The library's processor; without ``begin`` for texts that go on from another, which get no prefix."""
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
 
-        return sentencepiece.SentencePieceProcessor(model_proto=self.proto)
+        model = pb.ModelProto.FromString(self.proto)
+        model.normalizer_spec.add_dummy_prefix &= begin
+        return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; invalid UTF-8 is replaced."""
@@ -216,8 +221,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Longer ones are split into chunks; each yields a matrix of best scores from every boundary state to every
     other, the matrices of a text are multiplied by an associative scan, and with the scores of its entries
     each chunk is traced back by itself. Both ways give the same ids. A null text has null ids, an empty one
-    none. Characters that no piece has become bytes. Repeated rows and null ids are rows like any other.
+    none. Characters that no piece has become bytes. Repeated rows and null ids are rows like any other; other
+    columns, whatever their names, don't matter; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     v = Vocabulary(model)
     if chunk < v.longest:
         raise ValueError("a chunk must be longer than a piece")
@@ -225,6 +232,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     kind = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens int, ids array<int>, round_trip boolean"
 
+    @lean
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = None
         for b in sized(batches, "text", 1 << 20):
@@ -234,6 +242,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             trip = [None if x is None else v.decode(x) == t for x, t in zip(ids, texts)]
             yield pa.record_batch([b.column("doc_id"), pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(trip)], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 33
         for b in sized(batches, "text", 1 << 20):
@@ -248,6 +257,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             s = b.slice(at, LANES)
             yield s, Lattice(v, [p.replace(" ", _SPACE) for p in s.column("part").to_pylist()], s.column("n").to_pylist())
 
+    @lean
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, lattice in lattices(b):
@@ -261,6 +271,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         entries = [first, *scan(m)[:-1, 0, :]]
         return pd.DataFrame({"row": pdf["row"].to_numpy(), "k": pdf["k"].to_numpy(), "entry": [(np.maximum(e - e.max(), _NEVER)).tobytes() for e in entries]})
 
+    @lean
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, lattice in lattices(b):
@@ -268,6 +279,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 ends = [[None if f is None else {"entry": f[0], "ids": f[1]} for f in exits] for _, exits in found]
                 yield pa.record_batch([s.column("doc_id"), s.column("row"), s.column("k"), s.column("part"), s.column("n"), pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.struct([("entry", pa.int32()), ("ids", pa.list_(pa.int32()))])))], names=["doc_id", "row", "k", "part", "n", "shared", "exits"])
 
+    @lean
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
@@ -283,9 +295,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     long = F.coalesce(F.length("text"), F.lit(0)) > giant
     chunks = settle(src.where(long).mapInArrow(cut, f"doc_id {kind}, row long, k int, n int, part string"), "chunks")
-    spread = chunks.repartition("row", "k")
+    spread = chunks.repartition(max(1, -(-chunks.count() // TASK)), "row", "k")  # both ways, so that no task has many more
     entries = spread.mapInArrow(transfer, "row long, k int, matrix binary").groupBy("row").applyInPandas(combine, "row long, k int, entry binary")
-    traced = chunks.join(entries, ["row", "k"]).select("doc_id", "row", "k", "n", "part", "entry")
+    traced = spread.join(entries, ["row", "k"]).select("doc_id", "row", "k", "n", "part", "entry")
     traced = traced.mapInArrow(trace, f"doc_id {kind}, row long, k int, part string, n int, shared array<int>, exits array<struct<entry:int,ids:array<int>>>")
     joined = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("k", "n", "part", "shared", "exits")).alias("parts")).mapInArrow(join, schema)
     return src.where(~long).mapInArrow(whole, schema).unionByName(joined)
