@@ -1,17 +1,19 @@
-"""Documents packed into bins of fixed size, each where the sum of squares becomes smallest."""
+"""Token sequences packed into bins of fixed size, each where the sum of squares becomes smallest."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import settle
+from . import pieces
+from ._shared import lean, settle, sized, small_batches
 
 CAPACITY = 2048  #: tokens in a bin
-GROUP = 50_000  #: pieces packed together, on average; groups are packed independently
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"  #: a run of letters and digits, or any other visible character
+GROUP = 50_000  #: documents packed together, on average; groups are packed independently
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,33 +49,92 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, starts
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``(doc_id, piece, n_tokens, bin_group, bin, start)``: where each piece of each document lies.
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = pieces.MODEL) -> DataFrame:
+    """``(doc_id, row, ids)`` for every row, in the shared folder: the ids of its text, none for null or empty; ``row``
+    tells repeated rows apart. No shuffle. Up to pieces.GIANT characters they are those of ``pieces.encode``;
+    a longer text is cut at its last space before every so many characters, and the parts encoded one by one,
+    so that near a cut the segmentation may be another; decoded in order they are the text in any case."""
+    v = pieces.Vocabulary(model)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = rest = None
+        for b in sized(batches, "text", 1 << 20):
+            if first is None:
+                first, rest = v.library(), v.library(False)
+            texts = b.column("text").to_pylist()
+            at, parts = [], []
+            for i, t in enumerate(texts):
+                lo = pieces.GIANT if t and len(t) > pieces.GIANT else len(t or "")
+                if lo < len(t or ""):
+                    lo = _cut(t, 0, pieces.GIANT)
+                texts[i] = (t or "")[:lo]
+                while lo < len(t or ""):
+                    hi = _cut(t, lo, pieces.GIANT)
+                    at.append(i)
+                    parts.append(t[lo:hi])
+                    lo = hi
+            found = [np.array(x, dtype=np.int32) for x in first.encode(texts, num_threads=1)]
+            more: dict[int, list[np.ndarray]] = {}
+            for i, x in zip(at, rest.encode(parts, num_threads=1) if parts else []):
+                more.setdefault(i, [found[i]]).append(np.array(x, dtype=np.int32))
+            for i, x in more.items():
+                found[i] = np.concatenate(x)
+            off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.record_batch([b.column("doc_id"), b.column("row"), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(found)))], names=["doc_id", "row", "ids"])
+
+    return settle(src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, row long, ids array<int>"), "tokens")
+
+
+def _cut(text: str, lo: int, most: int) -> int:
+    """End of the part of ``text`` that begins at ``lo``: before its last space within ``most`` characters, if any."""
+    if len(text) - lo <= most:
+        return len(text)
+    space = text.rfind(" ", lo + 1, lo + most)
+    return space if space > lo else lo + most
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, model: str = pieces.MODEL) -> DataFrame:
+    """``(doc_id, piece, n_tokens, bin_group, bin, start, ids)``: where each piece of each document lies, and its ids.
 
     A document of more than ``capacity`` tokens is cut into pieces of ``capacity`` and a rest; only the rest
-    competes for room, the others fill bins of their own. A null text or one without tokens is a piece of 0
-    tokens in no bin (null ``bin`` and ``start``). Repeated rows are packed each for itself; null ids too.
-    Tokens are counted by the JVM; what is shuffled is ids and counts. Groups of about ``group`` pieces, by
-    hash, are packed independently, so the last bins of each group are all that parallel work wastes. Within
-    a group pieces come in the order of their ids. Other columns don't matter; no rows give no rows.
+    competes for room, the others fill bins of their own. A null or empty text is a piece of 0 tokens in no bin
+    (null ``bin`` and ``start``). Repeated rows and rows of null id are packed each for itself, and spread over
+    the groups like any others. Groups of about ``group`` documents, by a hash of their rows' places, are packed
+    independently, so the last bins of each group are all that parallel work wastes; only lengths go there.
+    Within a group rows come in the order of their ids, then of their places. Very long texts: see ``tokens``.
+    Other columns, whatever their names, don't matter; no rows give no rows.
     """
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(TOKEN)), F.lit(0)).cast("long").alias("n"))
-    counted = settle(counted, "lengths")
-    groups = max(1, -(-counted.count() // group))
-    kind = counted.schema["doc_id"].dataType.simpleString()
-    rows = counted.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "n"), F.lit(groups)).cast("int"))
+    small_batches(docs.sparkSession)
+    found = tokens(docs, id_col, text_col, model)
+    groups = max(1, -(-found.count() // group))
+    kind = found.schema["doc_id"].dataType.simpleString()
+    rows = found.select("doc_id", "row", F.size("ids").cast("long").alias("n"), F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("bin_group"))
 
     def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("n", "ascending")])  # null ids last
+        t = t.sort_by([("doc_id", "ascending"), ("row", "ascending")])  # null ids last
         n = t["n"].to_numpy()
-        pieces = np.maximum(1, -(-n // capacity))
-        at = np.repeat(np.arange(len(n)), pieces)
-        piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        count = np.maximum(1, -(-n // capacity))
+        at = np.repeat(np.arange(len(n)), count)
+        piece = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
         size = np.minimum(n[at] - piece * capacity, capacity)
         bins, starts = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
         some = np.flatnonzero(size > 0)
         bins[some], starts[some] = sum_of_squares(size[some], capacity)
         rows = t.take(pa.array(at))
-        return pa.table({"doc_id": rows["doc_id"], "piece": pa.array(piece, pa.int32()), "n_tokens": pa.array(size), "bin_group": rows["bin_group"], "bin": pa.array(bins, mask=size == 0), "start": pa.array(starts, mask=size == 0)})
+        return pa.table({"row": rows["row"], "piece": pa.array(piece, pa.int32()), "n_tokens": pa.array(size), "bin_group": rows["bin_group"], "bin": pa.array(bins, mask=size == 0), "start": pa.array(starts, mask=size == 0)})
+
+    placed = rows.groupBy("bin_group").applyInArrow(one, "row long, piece int, n_tokens long, bin_group int, bin long, start long")
+    own = F.slice("ids", F.col("piece") * capacity + 1, F.col("n_tokens").cast("int"))
+    return found.join(placed, "row").select(F.col("doc_id").cast(kind).alias("doc_id"), "piece", "n_tokens", "bin_group", "bin", "start", own.alias("ids"))
+
 
-    return rows.groupBy("bin_group").applyInArrow(one, f"doc_id {kind}, piece int, n_tokens long, bin_group int, bin long, start long")
+def sequences(packed: DataFrame) -> DataFrame:
+    """``(bin_group, bin, n_tokens, ids, pieces)`` of what ``pack`` gives: the bins as token sequences to train on, each
+    with the pieces ``(doc_id, piece, start, n_tokens)`` that lie in it, by their starts. Pieces without tokens lie
+    in no bin. A bin is as long as its capacity at most, and so is what one group gathers."""
+    one = F.struct("start", F.col("doc_id"), "piece", "n_tokens", "ids")
+    bins = packed.where("bin is not null").groupBy("bin_group", "bin").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(one)).alias("all"))
+    of = F.transform("all", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["start"].alias("start"), p["n_tokens"].alias("n_tokens")))
+    return bins.select("bin_group", "bin", "n_tokens", F.flatten(F.transform("all", lambda p: p["ids"])).alias("ids"), of.alias("pieces"))

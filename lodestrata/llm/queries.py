@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the id of the document that its group of near copies keeps."""
+    """Every document with the id of the one that its group of near copies keeps, and its number of near copies."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
@@ -27,7 +27,7 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bin and place of every piece of every document."""
+    """The bin, place and token ids of every piece of every document."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 

@@ -3,11 +3,10 @@
 from collections import Counter, defaultdict
 
 import numpy as np
-import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.llm import packing
+from lodestrata.llm import packing, pieces
 
 from ..conftest import DATA
 
@@ -39,21 +38,50 @@ def test_every_step_is_the_best(sizes):
     assert sorted(12 - v for v in Counter({int(b): sum(s for s, x in zip(sizes, bins) if x == b) for b in bins}).values()) == room
 
 
-def test_all_tokens_lie_in_bins_without_overlap(spark):
+def test_all_tokens_lie_in_bins_without_overlap(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "GIANT", 3_000)
     docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet"))
-    tokens = {r.doc_id: len(regex.findall(packing.TOKEN, r.text)) for r in docs.collect()}
-    got = packing.pack(docs, capacity=256).collect()
-    have, bins = Counter(), defaultdict(list)
-    for r in got:
-        have[r.doc_id] += r.n_tokens
+    v = pieces.Vocabulary()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert max(map(len, texts.values())) > 6_000
+    packed = packing.pack(docs, capacity=256).cache()
+    have, bins = defaultdict(list), defaultdict(list)
+    for r in packed.collect():
+        assert len(r.ids) == r.n_tokens
+        have[r.doc_id].append((r.piece, r.ids))
         if r.bin is not None:
             bins[r.bin_group, r.bin].append((r.start, r.start + r.n_tokens))
-    assert have == Counter(tokens)
+    assert {d: v.decode([i for _, ids in sorted(p) for i in ids]) for d, p in have.items()} == texts
+    short = {r.doc_id: r.ids for r in pieces.encode(docs).collect() if len(texts[r.doc_id]) <= 3_000}
+    assert all([i for _, ids in sorted(have[d]) for i in ids] == x for d, x in short.items())
     for spans in bins.values():
         spans.sort()
         assert spans[-1][1] <= 256 and spans[0][0] == 0
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
-    assert len(bins) <= 1.1 * sum(tokens.values()) / 256 + 1
+    total = sum(len(ids) for p in have.values() for _, ids in p)
+    assert len(bins) <= 1.1 * total / 256 + 1
+    again = defaultdict(list)
+    rows = packing.sequences(packed).collect()
+    assert len(rows) == len(bins) and sum(r.n_tokens for r in rows) == total
+    for r in rows:  # from the sequences alone every document can be had again
+        assert len(r.ids) == r.n_tokens <= 256
+        for p in r.pieces:
+            again[p.doc_id].append((p.piece, r.ids[p.start : p.start + p.n_tokens]))
+    assert {d: v.decode([i for _, ids in sorted(p) for i in ids]) for d, p in again.items()} == {d: t for d, t in texts.items() if t}
+
+
+def test_texts_without_spaces_are_cut_all_the_same(spark):
+    text = "x" * 95_000 + " é😀" * 20_000
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    v = pieces.Vocabulary()
+    got = {r.doc_id: r.ids for r in packing.tokens(docs).collect()}
+    assert v.decode(got[1]) == text and v.decode(got[2]) == "x"
+
+
+def test_repeated_rows_are_spread_over_the_groups(spark):
+    docs = spark.createDataFrame([(None, "the same words")] * 400, "doc_id long, text string")
+    sizes = [r["count"] for r in packing.pack(docs, group=50).groupBy("bin_group").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 120
 
 
 def test_groups_cut_the_work_and_not_the_result(spark):
@@ -69,8 +97,10 @@ def test_odd_rows(odd_docs, no_docs):
     for r in got:
         by[r.doc_id].append(r)
     assert len(by[1]) == 2 and len(by[None]) == 3 and 2**60 + 1 in by
-    for d in (2, 3, 4):
+    for d in (2, 3):
         (r,) = by[d]
-        assert (r.n_tokens, r.bin, r.start) == (0, None, None)
+        assert (r.n_tokens, r.bin, r.start, r.ids) == (0, None, None, [])
+    assert by[4][0].n_tokens and sum(r.n_tokens == 0 for r in by[None]) == 1
+    assert packing.sequences(packing.pack(no_docs)).count() == 0
     assert len(by[5]) > 1 and [r.n_tokens for r in sorted(by[5], key=lambda r: r.piece)][0] == packing.CAPACITY
     assert packing.pack(no_docs).count() == 0
