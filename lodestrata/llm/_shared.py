@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import delete, settle, shared_dir  # noqa: F401 - the operators take them from here
 
-ARROW_BYTES = 8 << 20  #: bytes of an Arrow batch between the JVM and Python; both sides hold a few of them for each task
+SCAN_ROWS = 512  #: rows that a scan decodes at once: a vector of texts grows with the longest of them and stays so
+ARROW_BYTES = 4 << 20  #: bytes of an Arrow batch between the JVM and Python; both sides hold a few of them for each task
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches of ARROW_BYTES at most for what runs from now on in this session: texts are long, and each task
+    """Scans of SCAN_ROWS and batches of ARROW_BYTES at most for what runs from now on in this session: texts are long, and each task
     holds batches on both sides of the pipe outside the heap."""
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > SCAN_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name).rstrip("b")
     if not now.isdigit() or int(now) > ARROW_BYTES:  # a size with a unit is the user's own, or the default
@@ -45,7 +48,7 @@ def row_key(*cols: Column | str) -> Column:
     return F.unhex(F.md5(F.concat(*shown)))
 
 
-def sized(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def sized(batches: Iterator[pa.RecordBatch], column: str, limit: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``limit`` bytes in each, or one row."""
     for b in batches:
         if not b.num_rows:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh
+from ._shared import fresh, lean, sized, small_batches
+from ._text import mix
 
 SAMPLE = 8_000  #: labelled documents that the model is fitted on: those with the least hash of their ids
 TREES = 24  #: boosted trees that give the rules
@@ -19,22 +24,84 @@ CUT = 0.5  #: least probability of good quality that is accepted
 STATISTICS = ("log_chars", "log_words", "word_length", "symbols", "bangs", "bars", "digits", "shouted", "lines", "distinct_words", "distinct_lines")
 
 
-def statistics(text: Column) -> list[Column]:
-    """The statistics of a text, all evaluated in the JVM; null for null."""
-    chars = F.length(text)
-    size = F.greatest(chars, F.lit(1))
-    tokens = F.split(text, r"\s+")
-    count = F.greatest(F.size(tokens), F.lit(1))
-    rows = F.split(text, "\n")
-
-    def share(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern)) / size
-
-    values = [
-        F.log1p(chars.cast("double")), F.log1p(count.cast("double")), size / count, share(r"[#$%&*@^~<>{}\\]"), share("!"), share(r"\|"), share("[0-9]"),
-        F.regexp_count(text, F.lit(r"\p{Lu}{2,}")) / count, F.size(rows) / count, F.size(F.array_distinct(tokens)) / count, F.size(F.array_distinct(rows)) / F.size(rows),
-    ]
-    return [v.cast("double").alias(n) for n, v in zip(STATISTICS, values)]
+_SPACES = tuple(map(ord, " \t\n\x0b\f\r"))
+_SYMBOLS = tuple(map(ord, "#$%&*@^~<>{}\\"))
+_CODES = 0x110000
+
+
+@cache
+def _tables() -> np.ndarray:
+    """For every character whether it is white space, a symbol, a digit or an upper-case letter, as bits."""
+    kind = np.zeros(_CODES, dtype=np.uint8)
+    kind[list(_SPACES)] |= 1
+    kind[list(_SYMBOLS)] |= 2
+    kind[48:58] |= 4
+    kind[[c for c in range(_CODES) if unicodedata.category(chr(c)) == "Lu"]] |= 8
+    return kind
+
+
+def _distinct(codes: np.ndarray, apart: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each text the number of distinct runs of characters that aren't ``apart``, by 64-bit hashes."""
+    n = len(codes)
+    inside = ~apart
+    begins = inside.copy()
+    begins[1:] &= apart[:-1]
+    first = off[:-1][off[:-1] < n]
+    begins[first] = inside[first]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(len(off) - 1, np.int64)
+    at = np.arange(n) - starts[np.maximum(np.cumsum(begins) - 1, 0)]
+    with np.errstate(over="ignore"):
+        part = np.cumprod(np.full(int(at.max()) + 1, 0x100000001B3, dtype=np.uint64))[np.maximum(at, 0)] * (codes.astype(np.uint64) + np.uint64(1))
+        part[apart] = 0
+        doc = np.searchsorted(off, starts, side="right") - 1
+        key = mix(np.add.reduceat(part, starts)) + mix(doc.astype(np.uint64) + np.uint64(1))
+    return np.bincount(doc[np.unique(key, return_index=True)[1]], minlength=len(off) - 1)
+
+
+def statistics(texts: pa.Array) -> np.ndarray:
+    """(texts x STATISTICS) of whole texts; null counts as empty. Words are what white space parts, as a split does:
+    an empty one before or after it counts."""
+    strings = [t or "" for t in texts.to_pylist()]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in strings])]).astype(np.int64)
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _tables()[codes]
+    total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[off])
+    n, some = np.diff(off), np.flatnonzero(np.diff(off))
+    head = np.zeros(len(codes), dtype=bool)
+    head[off[:-1][some]] = True
+    space, upper, line = (kind & 1).astype(bool), (kind & 8).astype(bool), codes == 10
+    runs = lambda mask: mask & (head | ~np.concatenate([[False], mask[:-1]]))
+    size, words, lines = np.maximum(n, 1), total(runs(space)) + 1, total(line) + 1
+    second = upper & ~runs(upper) & np.concatenate([[False], runs(upper)[:-1]])  # a run's second letter
+    edge = np.zeros(len(n), dtype=bool)
+    edge[some] = space[off[:-1][some]] | space[off[1:][some] - 1]
+    distinct = _distinct(codes, space, off) + (edge | (n == 0))
+    empty = np.ones(len(n), dtype=bool)  # whether a line is empty: at an end, or two line breaks together
+    pair = line & (head | np.concatenate([[False], line[:-1]]))
+    last = np.zeros(len(n), dtype=bool)
+    last[some] = line[off[1:][some] - 1]
+    empty[some] = (total(pair)[some] > 0) | last[some]
+    lines_distinct = _distinct(codes, line, off) + empty
+    values = [np.log1p(n), np.log1p(words), size / words, total(kind & 2 > 0) / size, total(codes == 33) / size, total(codes == 124) / size, total(kind & 4 > 0) / size, total(second) / words, lines / words, distinct / words, lines_distinct / lines]
+    return np.column_stack(values)
+
+
+def _statistics_column(text: Column) -> Column:
+    """The statistics as a struct, by one pass over the text. It is marked so that it is evaluated once for each row
+    and not copied into every condition of the rules."""
+
+    def batches(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in arrays:
+            parts = [statistics(b.column(0)) for b in sized(iter([pa.record_batch([a], names=["text"])]), "text")]
+            x = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in x.T], names=list(STATISTICS))
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(batches)(arrays)
+
+    return F.arrow_udf(run, ", ".join(f"{n} double" for n in STATISTICS)).asNondeterministic()(text)
 
 
 @dataclass(frozen=True)
@@ -138,25 +205,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not chosen:
         return Model((), 0.0)
     frame = docs.sparkSession.createDataFrame([(r.i, int(r.y)) for r in chosen], f"i {docs.schema[id_col].dataType.simpleString()}, y int")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("x")).where("x is not null").join(F.broadcast(frame), "i")  # SAMPLE rows
-    least = F.min(F.struct(F.xxhash64("x").alias("h"), F.col("y"), F.struct(*statistics(F.col("x"))).alias("s"))).alias("r")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("x")).where("x is not null").join(F.broadcast(frame), "i").withColumn("s", _statistics_column(F.col("x")))  # SAMPLE rows
+    least = F.min(F.struct(F.xxhash64("x").alias("h"), F.col("y"), F.col("s"))).alias("r")
     got = rows.groupBy("i").agg(least).orderBy("i").select("r.y", "r.s.*").toArrow().to_pandas()
     return fit(got[list(STATISTICS)].to_numpy(), (got["y"].to_numpy() > 0).astype(float))
 
 
 def _scored(docs: DataFrame, model: Model, text_col: str) -> tuple[DataFrame, str, Column]:
-    """``docs`` with a column of its statistics and the probability as an expression over it. The statistics
-    hang on a value that isn't deterministic, so that the optimizer evaluates them once for each row and
-    doesn't copy them into every condition."""
+    """``docs`` with a column of its statistics and the probability as an expression over it."""
+    small_batches(docs.sparkSession)
     name = fresh(docs, "text_statistics")
-    stats = F.when(F.monotonically_increasing_id() >= 0, F.struct(*statistics(F.col(text_col))))
     probability = F.when(F.length(F.col(text_col)) > 0, model.column(F.col(name))).otherwise(F.lit(0.0))
-    return docs.withColumn(name, stats), name, probability
+    return docs.withColumn(name, _statistics_column(F.col(text_col))), name, probability
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """``(doc_id, quality, accepted)`` for every row, by column expressions only, over whole texts of any length
-    and without a shuffle. Null and empty texts have quality 0 and aren't accepted; a probability of exactly
+    """``(doc_id, quality, accepted)`` for every row: the statistics by one pass over the whole texts, the rules by
+    column expressions over them; no shuffle. Null and empty texts have quality 0 and aren't accepted; a probability of exactly
     ``cut`` is accepted; repeated rows and null ids are rows like any other; other columns, whatever their names,
     don't matter; an empty table gives no rows."""
     rows, _, p = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, "text")

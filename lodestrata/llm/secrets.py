@@ -17,7 +17,7 @@ from ._shared import fresh, lean, sized, small_batches
 from ._text import flat
 
 LANE = 1024  #: bytes that one lane of the scan decides
-SLICE = 4 << 20  #: bytes of text scanned at once
+SLICE = 2 << 20  #: bytes of text scanned at once
 
 
 WORD = frozenset({*range(48, 58), *range(65, 91), *range(97, 123)})
