@@ -6,85 +6,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from ._shared import lean, settle, sized, small_batches
+from ._shared import lean, sized, small_batches
 
 CAPACITY = 2048  #: tokens in a bin
-GROUP = 50_000  #: documents packed together, on average; groups are packed independently
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and place in it of each item, taken in order.
+class Packer:
+    """Bins that are open, for items that come one after the other.
 
     ``count[g]`` is the number of open bins with ``g`` units left. An item of size s goes into the bin, or the
     new one, for which the sum of ``count[g]**2`` over 0 < g < capacity is least afterwards; ties go to an open
     bin, then to the least room. Sizes must lie between 1 and capacity. The work is one vector operation over
     the gaps for each item, whatever the number of bins.
     """
-    count = np.zeros(capacity + 1, dtype=np.int64)
-    open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins, starts = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
-    far = np.iinfo(np.int64).max
-    total = 0
-    for k, s in enumerate(sizes.tolist()):
-        # change of the sum: the bin leaves gap g (1 - 2 count[g]) and enters gap g - s (1 + 2 count[g - s])
-        gain = 1 - 2 * count[s:capacity]
-        gain[1:] += 1 + 2 * count[1 : capacity - s]
-        gain[count[s:capacity] == 0] = far
-        fresh = 1 + 2 * count[capacity - s] if s < capacity else 0
-        g = s + int(gain.argmin()) if len(gain) else capacity
-        if g < capacity and gain[g - s] <= fresh:
-            b = open_bins[g].pop()
-            count[g] -= 1
-        else:
-            b, g = total, capacity
-            total += 1
-        bins[k], starts[k] = b, capacity - g
-        if g > s:
-            open_bins[g - s].append(b)
-            count[g - s] += 1
-    return bins, starts
-
-
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = pieces.MODEL) -> DataFrame:
-    """``(doc_id, row, ids)`` for every row, in the shared folder: the ids of its text, none for null or empty; ``row``
-    tells repeated rows apart. No shuffle. Up to pieces.GIANT characters they are those of ``pieces.encode``;
-    a longer text is cut at its last space before every so many characters, and the parts encoded one by one,
-    so that near a cut the segmentation may be another; decoded in order they are the text in any case."""
-    v = pieces.Vocabulary(model)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = rest = None
-        for b in sized(batches, "text", 1 << 20):
-            if first is None:
-                first, rest = v.library(), v.library(False)
-            texts = b.column("text").to_pylist()
-            at, parts = [], []
-            for i, t in enumerate(texts):
-                lo = pieces.GIANT if t and len(t) > pieces.GIANT else len(t or "")
-                if lo < len(t or ""):
-                    lo = _cut(t, 0, pieces.GIANT)
-                texts[i] = (t or "")[:lo]
-                while lo < len(t or ""):
-                    hi = _cut(t, lo, pieces.GIANT)
-                    at.append(i)
-                    parts.append(t[lo:hi])
-                    lo = hi
-            found = [np.array(x, dtype=np.int32) for x in first.encode(texts, num_threads=1)]
-            more: dict[int, list[np.ndarray]] = {}
-            for i, x in zip(at, rest.encode(parts, num_threads=1) if parts else []):
-                more.setdefault(i, [found[i]]).append(np.array(x, dtype=np.int32))
-            for i, x in more.items():
-                found[i] = np.concatenate(x)
-            off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            yield pa.record_batch([b.column("doc_id"), b.column("row"), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(found)))], names=["doc_id", "row", "ids"])
-
-    return settle(src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, row long, ids array<int>"), "tokens")
+    def __init__(self, capacity: int):
+        self.capacity, self.total = capacity, 0
+        self.count = np.zeros(capacity + 1, dtype=np.int64)
+        self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
+
+    def put(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bin and place in it of each item, taken in order."""
+        count, capacity = self.count, self.capacity
+        bins, starts = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
+        far = np.iinfo(np.int64).max
+        for k, s in enumerate(sizes.tolist()):
+            if s == capacity:
+                bins[k], starts[k] = self.total, 0
+                self.total += 1
+                continue
+            # change of the sum: the bin leaves gap g (1 - 2 count[g]) and enters gap g - s (1 + 2 count[g - s])
+            gain = 1 - 2 * count[s:capacity]
+            gain[1:] += 1 + 2 * count[1 : capacity - s]
+            gain[count[s:capacity] == 0] = far
+            g = s + int(gain.argmin())
+            if gain[g - s] <= 1 + 2 * count[capacity - s]:
+                b = self.open[g].pop()
+                count[g] -= 1
+            else:
+                b, g = self.total, capacity
+                self.total += 1
+            bins[k], starts[k] = b, capacity - g
+            if g > s:
+                self.open[g - s].append(b)
+                count[g - s] += 1
+        return bins, starts
+
+
+def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and place of each item in bins of their own."""
+    return Packer(capacity).put(sizes)
+
+
+class Tokens:
+    """The ids of texts. Up to pieces.GIANT characters they are those of ``pieces.encode``; a longer text is cut at
+    its last space before every so many characters, and the parts encoded one by one, so that near a cut the
+    segmentation may be another; decoded in order they are the text in any case."""
+
+    def __init__(self, v: pieces.Vocabulary):
+        self.first, self.rest = v.library(), v.library(False)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        heads, at, parts = [], [], []
+        for i, t in enumerate(texts):
+            t = t or ""
+            lo = _cut(t, 0, pieces.GIANT)
+            heads.append(t[:lo])
+            while lo < len(t):
+                hi = _cut(t, lo, pieces.GIANT)
+                at.append(i)
+                parts.append(t[lo:hi])
+                lo = hi
+        found = [np.array(x, dtype=np.int32) for x in self.first.encode(heads, num_threads=1)]
+        more: dict[int, list[np.ndarray]] = {}
+        for i, x in zip(at, self.rest.encode(parts, num_threads=1) if parts else []):
+            more.setdefault(i, [found[i]]).append(np.array(x, dtype=np.int32))
+        for i, x in more.items():
+            found[i] = np.concatenate(x)
+        return found
 
 
 def _cut(text: str, lo: int, most: int) -> int:
@@ -95,39 +99,40 @@ def _cut(text: str, lo: int, most: int) -> int:
     return space if space > lo else lo + most
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, model: str = pieces.MODEL) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, model: str = pieces.MODEL) -> DataFrame:
     """``(doc_id, piece, n_tokens, bin_group, bin, start, ids)``: where each piece of each document lies, and its ids.
 
     A document of more than ``capacity`` tokens is cut into pieces of ``capacity`` and a rest; only the rest
     competes for room, the others fill bins of their own. A null or empty text is a piece of 0 tokens in no bin
-    (null ``bin`` and ``start``). Repeated rows and rows of null id are packed each for itself, and spread over
-    the groups like any others. Groups of about ``group`` documents, by a hash of their rows' places, are packed
-    independently, so the last bins of each group are all that parallel work wastes; only lengths go there.
-    Within a group rows come in the order of their ids, then of their places. Very long texts: see ``tokens``.
-    Other columns, whatever their names, don't matter; no rows give no rows.
+    (null ``bin`` and ``start``). The rule places pieces as they come, so that every task packs the rows of its
+    partition while it encodes them, in their order, into bins of its own, ``bin_group``: nothing is shuffled or
+    held, and the last bins of each partition are all that parallel work wastes. Repeated rows and rows of null
+    id are packed each for itself. Very long texts: see ``Tokens``. Other columns, whatever their names, don't
+    matter; no rows give no rows.
     """
     small_batches(docs.sparkSession)
-    found = tokens(docs, id_col, text_col, model)
-    groups = max(1, -(-found.count() // group))
-    kind = found.schema["doc_id"].dataType.simpleString()
-    rows = found.select("doc_id", "row", F.size("ids").cast("long").alias("n"), F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("bin_group"))
-
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("row", "ascending")])  # null ids last
-        n = t["n"].to_numpy()
-        count = np.maximum(1, -(-n // capacity))
-        at = np.repeat(np.arange(len(n)), count)
-        piece = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        size = np.minimum(n[at] - piece * capacity, capacity)
-        bins, starts = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-        some = np.flatnonzero(size > 0)
-        bins[some], starts[some] = sum_of_squares(size[some], capacity)
-        rows = t.take(pa.array(at))
-        return pa.table({"row": rows["row"], "piece": pa.array(piece, pa.int32()), "n_tokens": pa.array(size), "bin_group": rows["bin_group"], "bin": pa.array(bins, mask=size == 0), "start": pa.array(starts, mask=size == 0)})
-
-    placed = rows.groupBy("bin_group").applyInArrow(one, "row long, piece int, n_tokens long, bin_group int, bin long, start long")
-    own = F.slice("ids", F.col("piece") * capacity + 1, F.col("n_tokens").cast("int"))
-    return found.join(placed, "row").select(F.col("doc_id").cast(kind).alias("doc_id"), "piece", "n_tokens", "bin_group", "bin", "start", own.alias("ids"))
+    v = pieces.Vocabulary(model)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, packer, group = None, Packer(capacity), TaskContext.get().partitionId()
+        for b in sized(batches, "text"):
+            tokens = tokens or Tokens(v)
+            ids = tokens.encode(b.column("text").to_pylist())
+            n = np.array([len(x) for x in ids], dtype=np.int64)
+            count = np.maximum(1, -(-n // capacity))
+            at = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            size = np.minimum(n[at] - piece * capacity, capacity)
+            bins, starts = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+            some = np.flatnonzero(size > 0)
+            bins[some], starts[some] = packer.put(size[some])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids)))
+            values = [b.column("doc_id").take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(size), pa.array(np.full(len(at), group), pa.int32()), pa.array(bins, mask=size == 0), pa.array(starts, mask=size == 0), lists]
+            yield pa.record_batch(values, names=["doc_id", "piece", "n_tokens", "bin_group", "bin", "start", "ids"])
+
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, piece int, n_tokens long, bin_group int, bin long, start long, ids array<int>")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -70,24 +70,26 @@ def test_all_tokens_lie_in_bins_without_overlap(spark, monkeypatch):
     assert {d: v.decode([i for _, ids in sorted(p) for i in ids]) for d, p in again.items()} == {d: t for d, t in texts.items() if t}
 
 
-def test_texts_without_spaces_are_cut_all_the_same(spark):
+def test_texts_without_spaces_are_cut_all_the_same():
     text = "x" * 95_000 + " é😀" * 20_000
-    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
     v = pieces.Vocabulary()
-    got = {r.doc_id: r.ids for r in packing.tokens(docs).collect()}
-    assert v.decode(got[1]) == text and v.decode(got[2]) == "x"
+    got = packing.Tokens(v).encode([text, "x", None, ""])
+    assert v.decode(got[0].tolist()) == text and v.decode(got[1].tolist()) == "x" and not len(got[2]) and not len(got[3])
 
 
-def test_repeated_rows_are_spread_over_the_groups(spark):
-    docs = spark.createDataFrame([(None, "the same words")] * 400, "doc_id long, text string")
-    sizes = [r["count"] for r in packing.pack(docs, group=50).groupBy("bin_group").count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 120
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=60), st.integers(1, 20))
+def test_items_may_come_in_parts(sizes, part):
+    p, got = packing.Packer(30), []
+    for lo in range(0, len(sizes), part):
+        got += zip(*(x.tolist() for x in p.put(np.array(sizes[lo : lo + part], dtype=np.int64))))
+    assert got == list(zip(*(x.tolist() for x in packing.sum_of_squares(np.array(sizes, dtype=np.int64), 30))))
 
 
-def test_groups_cut_the_work_and_not_the_result(spark):
-    docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet"))
-    got = packing.pack(docs, group=20)
-    assert got.select("bin_group").distinct().count() > 3
+def test_partitions_cut_the_work_and_not_the_result(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet")).repartition(5)
+    got = packing.pack(docs)
+    assert got.select("bin_group").distinct().count() == 5
     assert got.select("doc_id").distinct().count() == docs.count()
 
 
