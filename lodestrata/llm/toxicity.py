@@ -144,14 +144,14 @@ class Chain:
     links: list[Link]
 
 
-def fit_chain(at: np.ndarray, first: np.ndarray, labels: np.ndarray, known: np.ndarray | None = None) -> Chain:
+def fit_chain(at: np.ndarray, first: np.ndarray, labels: np.ndarray, known: np.ndarray | None = None, group: np.ndarray | None = None) -> Chain:
     """A model for each column of ``labels``, in order, fitted on the rows that are true in ``known``'s column
     (all if there is none). Each is given the probabilities of those before it;
     for training these are out-of-fold predictions, since a model is too sure of the rows it was fitted on.
     Near copies share the weight of one row and a fold, else what tells their text apart would count. Features
     that fewer than SUPPORT rows have are dropped, and in the end those that no model uses."""
     n = len(first) - 1
-    group = _copies(at, first)
+    group = _copies(at, first) if group is None else group
     weight = 1 / np.bincount(group, minlength=n)[group]
     fold = (mix(group.astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
     doc = np.repeat(np.arange(n), np.diff(first))

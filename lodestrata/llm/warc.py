@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zlib
@@ -35,6 +36,8 @@ from pyspark.sql.datasource import (
 
 SCHEMA = "file string, offset bigint, type string, record_id string, date string, uri string, content_type string, content_length bigint, headers map<string,string>, payload binary, body string"
 SPLIT = 128 << 20  #: bytes of files that one task reads
+PIECES = 64  #: ranges of one file at most: each task hops over the heads of the records before its range
+READ = 256 << 10  #: bytes read from a file at once
 ROLL = 256 << 20  #: bytes after which a writing task begins another file
 _NAMES = {"type": "warc-type", "record_id": "warc-record-id", "date": "warc-date", "uri": "warc-target-uri", "content_type": "content-type"}
 _BATCH = 8 << 20
@@ -103,10 +106,21 @@ class _Plain:
         self.f.seek(start)
         return self.f.read(int(headers["content-length"]))
 
+    def skip(self, at: int) -> int | None:
+        """Where the record after the one at ``at`` may begin; None at the end."""
+        found = self.head(at)
+        return None if found is None else found[2]
+
+
+def _lengths(raw: bytes) -> tuple[int, int]:
+    """Bytes of a gzip member and of its contents, by the ``sl`` field of its header; zeros without it."""
+    return struct.unpack("<II", raw[16:24]) if len(raw) >= 24 and raw[3] & 4 and raw[12:16] == b"sl\x08\x00" else (0, 0)
+
 
 class _Gzip:
-    """Records each compressed by itself. Inflates up to the end of the headers; the rest only if the payload
-    is asked for, or if no ``sl`` field in the gzip header tells where the record ends."""
+    """Records each compressed by itself, or several in a gzip member. Inflates up to the end of the headers; the
+    rest only if the payload is asked for, or if no ``sl`` field in the gzip header tells that the member holds
+    one record and where it ends."""
 
     def __init__(self, f, size: int, name: str):
         self.f, self.size, self.name = f, size, name
@@ -118,9 +132,7 @@ class _Gzip:
             return None
         if raw[:2] != b"\x1f\x8b":
             raise Malformed(f"no gzip member begins at {self.name}:{at}")
-        length = 0
-        if raw[3] & 4 and raw[12:16] == b"sl\x08\x00":
-            length = struct.unpack("<I", raw[16:20])[0]
+        length, whole = _lengths(raw)
         self.z, self.out, self.at = zlib.decompressobj(31), b"", at + len(raw)
         self.left = raw
         while (end := _head_end(self.out)) < 0:
@@ -128,7 +140,44 @@ class _Gzip:
                 raise Malformed(f"headers end too early at {self.name}:{at}")
         headers = _parse(self.out[:end], f"{self.name}:{at}")
         self.start = end
-        return headers, at, at + length if length else -1
+        alone = length and whole == (end + int(headers["content-length"]) + 4) & 0xFFFFFFFF  # nothing but its last line breaks
+        return headers, at, at + length if alone else -1
+
+    def inner(self, at: int) -> tuple[dict[str, str], int, int]:
+        """The record that begins where the inflated bytes do, in the member at ``at``."""
+        while (end := _head_end(self.out)) < 0:
+            if not self._more(4096):
+                raise Malformed(f"headers end too early in {self.name}:{at}")
+        self.start = end
+        return _parse(self.out[:end], f"{self.name}:{at}"), at, -1
+
+    def after(self, headers: dict[str, str]) -> bool:
+        """Pass over what is left of the payload and over line breaks; whether another record of the member follows."""
+        left = self.start + int(headers["content-length"]) - len(self.out)
+        rest = b"" if left >= 0 else self.out[left:]
+        while left > 0:
+            self.out = b""
+            if not self._more(min(left, 1 << 20)):
+                raise Malformed(f"a payload ends too early in {self.name}")
+            left -= len(self.out)
+        while not (rest := rest.lstrip(b"\r\n")):
+            self.out = b""
+            if not self._more(4096):
+                return False
+            rest = self.out
+        self.out = rest
+        return True
+
+    def skip(self, at: int) -> int | None:
+        """Where the member after the one at ``at`` begins, from its header alone if that tells; None at the end."""
+        self.f.seek(at)
+        raw = self.f.read(24)
+        if not raw:
+            return None
+        if raw[:2] == b"\x1f\x8b" and (length := _lengths(raw)[0]):
+            return at + length
+        self.head(at)
+        return self.end()
 
     def _more(self, most: int) -> bool:
         """Inflate up to ``most`` more bytes; whether there were any."""
@@ -167,7 +216,7 @@ class _Gzip:
 
 @dataclass
 class Piece(InputPartition):
-    """Byte ranges of files that one task reads; every range begins with a record."""
+    """Byte ranges of files; a task reads the records, or gzip members, that begin in them."""
 
     ranges: list[tuple[str, int, int]]
 
@@ -212,8 +261,9 @@ class WarcReader(DataSourceReader):
         return True
 
     def partitions(self) -> list[Piece]:
-        """Small files together, up to ``splitBytes``; a larger file whose records can be hopped over is cut
-        at record boundaries, reading headers only. Nothing is guessed from bytes inside a payload."""
+        """Small files together, up to ``splitBytes``. Larger files whose records can be hopped over are cut into ranges
+        of so many bytes, PIECES at most; the tasks find the records that begin in their ranges. Here no record is
+        read, but the first 24 bytes of each large compressed file."""
         system, root = _open(self.path)
         info = system.get_file_info(root)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True)) if info.type == fs.FileType.Directory else []
@@ -229,16 +279,12 @@ class WarcReader(DataSourceReader):
         return [Piece(p) for p in pieces if p] or [Piece([])]
 
     def _cuts(self, system: fs.FileSystem, f: fs.FileInfo) -> list[tuple[int, int]]:
-        with system.open_input_file(f.path) as g:
-            r = (_Gzip if f.path.endswith(".gz") else _Plain)(g, f.size, f.path)
-            cuts, at = [0], 0
-            while (h := r.head(at)) is not None:
-                if h[2] < 0:
-                    return [(0, f.size)]  # without lengths only inflating finds the records
-                at = h[2]
-                if at - cuts[-1] >= self.split and at < f.size:
-                    cuts.append(at)
-        return list(zip(cuts, [*cuts[1:], f.size]))
+        if f.path.endswith(".gz"):
+            with system.open_input_file(f.path) as g:
+                if not _lengths(g.read(24))[0]:
+                    return [(0, f.size)]  # without lengths only inflating finds the members
+        step = max(self.split, -(-f.size // PIECES))
+        return [(at, min(at + step, f.size)) for at in range(0, f.size, step)]
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
         kinds = {"offset": pa.int64(), "content_length": pa.int64(), "headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
@@ -250,12 +296,15 @@ class WarcReader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.record_batch([pa.array(v, kinds.get(c, pa.string())) for c, v in zip(self.columns, rows)], names=self.columns)
 
-        for path, at, to in piece.ranges:
+        for path, low, to in piece.ranges:
             with system.open_input_file(path) as f:
-                gz = path.endswith(".gz")
-                r = (_Gzip if gz else _Plain)(f, f.size(), path)
+                r = (_Gzip if path.endswith(".gz") else _Plain)(io.BufferedReader(f, READ), f.size(), path)
                 try:
-                    while at < to and (h := r.head(at)) is not None:
+                    at: int | None = 0
+                    while at is not None and at < low:  # from head to head; what begins in a payload is no record
+                        at = r.skip(at)
+                    h = r.head(at) if at is not None and at < to else None
+                    while h is not None:
                         headers, start, after = h
                         if self.wanted(headers):
                             payload = r.payload(headers, start) if decode else b""
@@ -266,7 +315,11 @@ class WarcReader(DataSourceReader):
                             for c, v in zip(self.columns, rows):
                                 v.append(values[c])
                             size += len(payload) + 200
-                        at = after if after >= 0 else r.end()
+                        if after < 0 and r.after(headers):
+                            h = r.inner(at)
+                        else:
+                            at = after if after >= 0 else r.end()
+                            h = r.head(at) if at < to else None
                         if size > _BATCH:
                             yield batch()
                             rows, size = [[] for _ in self.columns], 0
@@ -373,7 +426,8 @@ def register(spark: SparkSession) -> None:
 
 def from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Rows for the writer: a request and a response for every page ``(page_id, url, html)``. A page of null
-    html has a request only; a null url or id is left out of the headers. Repeated rows are written again."""
+    html has a request only; a null url or id is left out of the headers. An empty page has an empty payload, a very
+    long one is written whole; repeated rows are written again; other columns don't matter; no rows give none."""
     html, url = F.col("html"), F.col("url")
     ids = F.when(F.col("page_id").isNotNull(), F.create_map(F.lit("Page-Id"), F.col("page_id").cast("string")))
     body = F.encode(html, "UTF-8")
@@ -389,7 +443,8 @@ def from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
 
 def responses(spark: SparkSession, path: str) -> DataFrame:
     """``(page_id, url, html)`` of the responses in the archives at ``path``: requests and the archives' own
-    records are passed over by their headers."""
+    records are passed over by their headers. Repeated records are rows each; a missing id or url is null, an empty
+    payload an empty text; archives without responses give no rows."""
     register(spark)
     rows = spark.read.format("warc").schema("type string, uri string, content_type string, headers map<string,string>, body string").load(path)
     rows = rows.where((F.col("type") == "response") & F.col("content_type").startswith("application/http"))

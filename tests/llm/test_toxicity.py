@@ -47,6 +47,56 @@ def test_toxic_documents_without_a_seed_are_no_negatives(monkeypatch, spark):
     assert got == [([0, 0, 0, 0, 0], [1, 1, 1, 1, 1]), ([0, 0, 0, 1, 1], [0, 0, 0, 1, 1]), ([1, 0, 0, 0, 1], [1, 1, 1, 0, 1])]
 
 
+def flat(rows):
+    """Features of rows of whole words, which are odd numbers."""
+    return np.array([2 * w + 1 for r in rows for w in sorted(set(r))], dtype=np.int64), np.concatenate([[0], np.cumsum([len(set(r)) for r in rows])])
+
+
+def test_later_models_are_trained_on_predictions_out_of_their_fold():
+    """The chain fitted step by step, with each fold's rows predicted by a model that hasn't seen them."""
+    rng = np.random.default_rng(3)
+    rows = [[int(w) for w in rng.integers(0, 40, 12)] for _ in range(2_000)]
+    y = np.array([[3 in r or 4 in r, (3 in r) ^ (rng.random() < 0.1)] for r in rows])
+    at, first = flat(rows)
+    group = np.arange(len(rows))
+    chain = toxicity.fit_chain(at, first, y, None, group)
+    fold = (toxicity.mix(group.astype(np.uint64)) % np.uint64(toxicity.FOLDS)).astype(int)
+    keys, place = np.unique(at, return_inverse=True)
+    w, none = np.ones(len(rows)), np.zeros((len(rows), 0))
+    held = np.zeros(len(rows))
+    for f in range(toxicity.FOLDS):
+        m = toxicity._fit(place, first, len(keys), none, y[:, 0].astype(float), w * (fold != f))
+        held[fold == f] = m.predict(place, first, none)[fold == f]
+    own = toxicity._fit(place, first, len(keys), none, y[:, 0].astype(float), w)
+    fitted = own.predict(place, first, none)
+    assert not np.allclose(held, fitted)
+    want = toxicity._fit(place, first, len(keys), toxicity._logit(held)[:, None], y[:, 1].astype(float), w)
+    used = np.isin(keys, chain.keys.astype(np.int64))
+    for got, ref in zip(chain.links, (own, want)):
+        assert np.allclose(got.word, ref.word[used]) and np.allclose(got.earlier, ref.earlier) and np.isclose(got.bias, ref.bias)
+    # and the scores are those of sums by hand, row by row
+    weight = [dict(zip(chain.keys.tolist(), link.word)) for link in chain.links]
+    at2, first2 = np.searchsorted(chain.keys, at[np.isin(at, chain.keys.astype(np.int64))].astype(np.uint64)), np.concatenate([[0], np.cumsum([sum(2 * v + 1 in weight[0] for v in set(r)) for r in rows])])
+    p = toxicity.score(chain.links, at2, first2)
+    for k, r in enumerate(rows):
+        a = 1 / (1 + np.exp(-sum(weight[0].get(2 * v + 1, 0.0) for v in set(r)) - chain.links[0].bias))
+        b = 1 / (1 + np.exp(-sum(weight[1].get(2 * v + 1, 0.0) for v in set(r)) - chain.links[1].bias - chain.links[1].earlier[0] * toxicity._logit(np.array([a]))[0]))
+        assert np.allclose(p[k], (a, b))
+    assert ((p[:, 0] > 0.5) == y[:, 0]).mean() > 0.95
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda at, first, *more: seen.append(len(first) - 1))
+    docs = spark.createDataFrame([(i % 9, f"text number {i} of {i % 9}") for i in range(300)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic")
+    monkeypatch.setattr(toxicity, "SAMPLE", 5)
+    toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 50)
+    toxicity.train(docs, labels)
+    assert seen[0] == 5 and 1 <= seen[1] <= 3
+
+
 def test_each_model_is_fed_with_those_before_it():
     texts = pa.array(["a b", "c", ""])
     keys = np.unique(toxicity.features(texts)[0]).astype(np.uint64)

@@ -2,7 +2,9 @@
 
 import gzip
 
+import numpy as np
 import pytest
+from pyspark.sql import types as T
 
 from lodestrata.llm import queries, warc
 
@@ -80,3 +82,35 @@ def test_no_pages(spark, pages, tmp_path):
     path = str(tmp_path / "w")
     warc.from_pages(pages.where("false")).write.format("warc").mode("append").save(path)
     assert warc.responses(spark, path).count() == 0
+
+
+def _records(n, seed=0):
+    """Records, some with a payload that looks like records and gzip members."""
+    rng = np.random.default_rng(seed)
+    for i in range(n):
+        inner = warc.record("response", "http://in/", "d", "text/plain", b"x", [], "<i>")
+        payload = bytes(rng.integers(0, 256, int(rng.integers(0, 3_000)), dtype=np.uint8)) + (b"\r\n\r\n" + inner + warc.member(inner)) * (i % 3 == 0)
+        yield f"http://h/{i}", payload, warc.record("response", f"http://h/{i}", "2024", "text/plain", payload, [], f"<urn:{i}>")
+
+
+@pytest.mark.parametrize("how", ["plain", "members", "one", "several"])
+@pytest.mark.parametrize("split", [1_000, 20_000, 1 << 30])
+def test_every_record_is_read_once_however_files_are_cut(tmp_path, how, split):
+    made = list(_records(60))
+    raw = [r for _, _, r in made]
+    if how == "plain":
+        (tmp_path / "a.warc").write_bytes(b"".join(raw))
+    elif how == "members":
+        (tmp_path / "a.warc.gz").write_bytes(b"".join(map(warc.member, raw)))
+    elif how == "one":  # compressed as a whole, without lengths
+        (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(raw)))
+    else:  # several records a member, with lengths
+        (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.member(b"".join(raw[i : i + 7])) for i in range(0, 60, 7)))
+    schema = T.StructType.fromDDL("uri string, payload binary")
+    reader = warc.WarcReader(schema, {"path": str(tmp_path), "splitBytes": str(split)})
+    parts = reader.partitions()
+    assert (len(parts) > 1) == (how != "one" and split < 100_000) and len(parts) <= 64
+    got = [(u, p) for part in parts for b in reader.read(part) for u, p in zip(b.column("uri").to_pylist(), b.column("payload").to_pylist())]
+    assert got == [(u, p) for u, p, _ in made]
+    heads = warc.WarcReader(T.StructType.fromDDL("uri string"), {"path": str(tmp_path), "splitBytes": str(split)})
+    assert [u for part in heads.partitions() for b in heads.read(part) for u in b.column("uri").to_pylist()] == [u for u, _, _ in made]
