@@ -7,8 +7,8 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,14 +113,21 @@ def words(n: int, bits: int) -> int:
     return -(-bytes_for(n, bits) // 8)
 
 
+SPREAD = 8_192  #: values whose bits are spread out at once; a multiple of 8, so that every part begins with a byte
+
+
 def unpack(raw: bytes, n: int, bits: int) -> np.ndarray:
-    """Any width from 0 to 64, values across word borders included."""
+    """Any width from 0 to 64, values across word borders included; SPREAD at a time, however many there are."""
+    out = np.zeros(n, dtype=np.uint64)
     if not bits:
-        return np.zeros(n, dtype=np.uint64)
-    flat = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=n * bits).reshape(n, bits)
-    wide = np.zeros((n, 64), dtype=np.uint8)
-    wide[:, 64 - bits :] = flat
-    return np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64)
+        return out
+    data = np.frombuffer(raw, dtype=np.uint8)
+    wide = np.zeros((min(n, SPREAD), 64), dtype=np.uint8)
+    for lo in range(0, n, SPREAD):
+        k = min(SPREAD, n - lo)
+        wide[:k, 64 - bits :] = np.unpackbits(data[lo * bits // 8 : lo * bits // 8 + bytes_for(k, bits)], count=k * bits).reshape(k, bits)
+        out[lo : lo + k] = np.packbits(wide[:k], axis=1).view(">u8").ravel()
+    return out
 
 
 def pack(values: list[int] | np.ndarray, bits: int, whole_words: bool = True) -> bytes:
@@ -131,6 +138,8 @@ def pack(values: list[int] | np.ndarray, bits: int, whole_words: bool = True) ->
 
 
 def put_varied(v: int) -> bytes:
+    if v < 0:
+        raise ValueError(f"{v} has no variable-length form")
     out = bytearray()
     while v >= 0x80:
         out.append(v & 0x7F | 0x80)
@@ -145,14 +154,14 @@ def put_text(s: str | bytes) -> bytes:
 
 
 def put_zfloat(v: float) -> bytes:
-    if v == int(v) and -1 <= v <= 125 and not (v == 0 and np.signbit(v)):
+    if -1 <= v <= 125 and v == int(v) and not (v == 0 and np.signbit(v)):
         return bytes([0x80 | int(v) + 1])
     raw = struct.pack(">f", v)
     return raw if raw[0] < 0x80 else b"\xff" + raw
 
 
 def put_zdouble(v: float) -> bytes:
-    if v == int(v) and -1 <= v <= 124 and not (v == 0 and np.signbit(v)):
+    if -1 <= v <= 124 and v == int(v) and not (v == 0 and np.signbit(v)):
         return bytes([0x80 | int(v) + 1])
     single = struct.unpack(">f", struct.pack(">f", v))[0] if abs(v) < 3e38 else None
     if single == v:
@@ -239,111 +248,197 @@ def checksum(raw: bytes) -> int:
     return zlib.crc32(raw[:-8])
 
 
-# Whole columns
+# Whole columns: null for null
 
 
 def _udf(kind: str):
-    """A pandas UDF that is made when it is used, as that needs a session."""
+    """An Arrow UDF that is made when it is used, as that needs a session."""
 
     def wrap(f):
         def column(*cols):
-            return F.pandas_udf(f, kind)(*cols)
+            return F.arrow_udf(f, kind)(*cols)
 
-        column.__name__, column.__doc__ = f.__name__, f.__doc__
+        column.__name__, column.__doc__, column.arrays = f.__name__, f.__doc__, f
         return column
 
     return wrap
 
 
-def _lists(binary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    off = np.frombuffer(binary.buffers()[1], dtype=np.int32)[binary.offset : binary.offset + len(binary) + 1]
-    return np.frombuffer(binary.buffers()[2], dtype=np.uint8)[off[0] : off[-1]] if binary.buffers()[2] else np.zeros(0, np.uint8), (off - off[0]).astype(np.int64)
+def _there(arr: pa.Array) -> np.ndarray:
+    return arr.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _numbers(arr: pa.Array, kind: type) -> np.ndarray:
+    return arr.fill_null(0).to_numpy(zero_copy_only=False).astype(kind, copy=False)
+
 
+def _joined(table: np.ndarray, n: np.ndarray, there: np.ndarray) -> pa.Array:
+    """Binary values from a matrix of bytes: the first ``n`` of every row; null where there is none."""
+    n = np.where(there, n, 0)
+    off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    flat = table[np.arange(table.shape[1])[None, :] < n[:, None]]
+    mask = None if there.all() else pa.py_buffer(np.packbits(there, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(n), [mask, pa.py_buffer(off.tobytes()), pa.py_buffer(flat.tobytes())])
 
-def encode_varied(values: np.ndarray) -> list[bytes]:
-    """The variable-length form of every value, all bytes at once: 7 bits a byte, the lowest first."""
-    v = values.astype(np.uint64)
-    groups = (v[:, None] >> (np.arange(9, dtype=np.uint64) * np.uint64(7))[None, :]) & np.uint64(0x7F)
-    n = np.maximum(1, 9 - (groups[:, ::-1] != 0).argmax(axis=1))
+
+def _apart(binary: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows x width) bytes of values, with zeros after their ends; their lengths; and which there are. An empty
+    value or one of more bytes is an error."""
+    there = _there(binary)
+    off = np.frombuffer(binary.buffers()[1], dtype=np.int32)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
+    raw = np.frombuffer(binary.buffers()[2], dtype=np.uint8) if binary.buffers()[2] else np.zeros(0, np.uint8)
+    n = np.where(there, np.diff(off), 0)
+    if ((n == 0) & there).any() or (n > width).any():
+        raise Corrupt(f"a value of no bytes or of more than {width}")
+    out = np.zeros((len(n), width), dtype=np.uint8)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    out[row, place] = raw[off[row] + place]
+    return out, n, there
+
+
+def _groups(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x most) bytes of the variable-length form, 7 bits a byte and the lowest first, and their numbers."""
+    groups = (v[:, None] >> (np.arange(most, dtype=np.uint64) * np.uint64(7))[None, :]).astype(np.uint8) & 0x7F
+    n = np.maximum(1, most - (groups[:, ::-1] != 0).argmax(axis=1))
     n[v == 0] = 1
-    groups = groups.astype(np.uint8)
-    groups[np.arange(9)[None, :] < (n - 1)[:, None]] |= 0x80
-    raw = groups.tobytes()
-    return [raw[9 * i : 9 * i + k] for i, k in enumerate(n.tolist())]
+    groups[np.arange(most)[None, :] < (n - 1)[:, None]] |= 0x80
+    return groups, n
 
 
-def decode_varied(binary: pa.Array) -> np.ndarray:
-    """Values of rows that hold one number each."""
-    raw, off = _lists(binary)
-    if not len(raw):
-        return np.zeros(len(binary), dtype=np.int64)
-    place = np.arange(len(raw)) - np.repeat(off[:-1], np.diff(off))
-    parts = (raw & 0x7F).astype(np.uint64) << (place * 7).astype(np.uint64)
-    return np.add.reduceat(parts, off[:-1]).astype(np.int64)
+def _ungroup(raw: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Numbers from rows of bytes that are each whole to the ``n``-th; an error if the form says otherwise."""
+    own = np.arange(raw.shape[1])[None, :] < n[:, None]
+    last = np.arange(raw.shape[1])[None, :] == n[:, None] - 1
+    if ((raw >= 0x80) != (own & ~last))[own].any():
+        raise Corrupt("a variable-length number doesn't end where it should")
+    parts = np.where(own, raw & 0x7F, 0).astype(np.uint64) << (np.arange(raw.shape[1], dtype=np.uint64) * np.uint64(7))[None, :]
+    return parts.sum(axis=1, dtype=np.uint64)
 
 
 @_udf("binary")
-def to_varied(v: pd.Series) -> pd.Series:
-    return pd.Series(encode_varied(v.to_numpy()))
+def to_varied(v: pa.Array) -> pa.Array:
+    """The variable-length form; negative numbers have none and are an error."""
+    x = _numbers(v, np.int64)
+    if (x < 0).any():
+        raise ValueError("a negative number has no variable-length form")
+    return _joined(*_groups(x.astype(np.uint64), 9), _there(v))
 
 
 @_udf("long")
-def from_varied(b: pd.Series) -> pd.Series:
-    return pd.Series(decode_varied(pa.array(b, pa.binary())))
+def from_varied(b: pa.Array) -> pa.Array:
+    raw, n, there = _apart(b, 9)
+    return pa.array(_ungroup(raw, n).astype(np.int64), mask=~there)
+
+
+def _to_zfloating(v: pa.Array, size: int, small: int) -> pa.Array:
+    """One byte for whole numbers from -1 to ``small``, ``size`` bytes for positive ones, one more for negative;
+    doubles that a float holds take 5."""
+    kind = np.float32 if size == 4 else np.float64
+    x = _numbers(v, kind)
+    out = np.zeros((len(x), size + 1), dtype=np.uint8)
+    raw = x.astype(f">f{size}").view(np.uint8).reshape(len(x), size)
+    positive = raw[:, 0] < 0x80
+    out[positive, :size] = raw[positive]
+    out[~positive, 0], out[~positive, 1:] = 0xFF, raw[~positive]
+    n = np.where(positive, size, size + 1)
+    with np.errstate(all="ignore"):
+        if size == 8:
+            single = x.astype(np.float32)
+            fits = (np.abs(x) < 3e38) & (single == x)
+            out[fits, 0], out[fits, 1:5], n[fits] = 0xFE, single[fits].astype(">f4").view(np.uint8).reshape(-1, 4), 5
+        whole = (x >= -1) & (x <= small) & (x == np.trunc(x)) & ~((x == 0) & np.signbit(x))
+    out[whole, 0], n[whole] = (0x80 | (x[whole].astype(np.int64) + 1)).astype(np.uint8), 1
+    return _joined(out, n, _there(v))
+
+
+def _from_zfloating(b: pa.Array, size: int) -> pa.Array:
+    raw, n, there = _apart(b, size + 1)
+    first = raw[:, 0]
+    far, single, whole = first == 0xFF, (first == 0xFE) & (size == 8), (first >= 0x80)
+    want = np.where(far, size + 1, np.where(single, 5, np.where(whole, 1, size)))
+    if (want != n)[there].any():
+        raise Corrupt("a number has too few or too many bytes")
+    read = lambda part, k: np.ascontiguousarray(part[:, :k]).view(f">f{k}").ravel().astype(np.float64)
+    out = np.where(far, read(raw[:, 1:], size), read(raw, size))
+    out = np.where(whole & ~far & ~single, (first & 0x7F).astype(np.float64) - 1, out)
+    if size == 8:
+        out = np.where(single, read(raw[:, 1:], 4), out)
+    return pa.array(out.astype(np.float32 if size == 4 else np.float64), mask=~there)
 
 
 @_udf("binary")
-def to_zdouble(v: pd.Series) -> pd.Series:
-    return v.map(put_zdouble)
+def to_zdouble(v: pa.Array) -> pa.Array:
+    return _to_zfloating(v, 8, 124)
 
 
 @_udf("double")
-def from_zdouble(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: Cursor(x).zdouble())
+def from_zdouble(b: pa.Array) -> pa.Array:
+    return _from_zfloating(b, 8)
 
 
 @_udf("binary")
-def to_zfloat(v: pd.Series) -> pd.Series:
-    return v.map(put_zfloat)
+def to_zfloat(v: pa.Array) -> pa.Array:
+    return _to_zfloating(v, 4, 125)
 
 
 @_udf("float")
-def from_zfloat(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: Cursor(x).zfloat())
+def from_zfloat(b: pa.Array) -> pa.Array:
+    return _from_zfloating(b, 4)
 
 
 @_udf("binary")
-def to_tlong(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: put_tlong(int(x)))
+def to_tlong(v: pa.Array) -> pa.Array:
+    """Times in the longest unit that divides them."""
+    x = _numbers(v, np.int64)
+    unit = np.select([x % UNITS_MS[k] == 0 for k in (3, 2, 1)], [3, 2, 1], 0)
+    x = x // np.array(UNITS_MS)[unit]
+    z = ((x << 1) ^ (x >> 63)).astype(np.uint64)
+    rest, n = _groups(z >> np.uint64(5), 9)
+    more = z >> np.uint64(5) > 0
+    head = (unit << 6 | (z & np.uint64(0x1F)).astype(np.int64) | more * 0x20).astype(np.uint8)
+    return _joined(np.column_stack([head, rest]), np.where(more, n + 1, 1), _there(v))
 
 
 @_udf("long")
-def from_tlong(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: Cursor(x).tlong())
+def from_tlong(b: pa.Array) -> pa.Array:
+    raw, n, there = _apart(b, 10)
+    more = (raw[:, 0] & 0x20) != 0
+    if ((n > 1) != more)[there].any():
+        raise Corrupt("a time has too few or too many bytes")
+    low = (raw[:, 0] & 0x1F).astype(np.uint64) | _ungroup(raw[:, 1:], np.where(more, n - 1, 0)) << np.uint64(5)
+    x = (low >> np.uint64(1)).astype(np.int64) ^ -(low & np.uint64(1)).astype(np.int64)
+    return pa.array(x * np.array(UNITS_MS)[raw[:, 0] >> 6], mask=~there)
 
 
 @_udf("binary")
-def to_lz4(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: lz4_encode(x.encode()))
+def to_lz4(v: pa.Array) -> pa.Array:
+    """Blocks of strings or bytes."""
+    return pa.array([None if x is None else lz4_encode(x.encode() if isinstance(x, str) else x) for x in v.to_pylist()], pa.binary())
 
 
 @_udf("string")
-def from_lz4(b: pd.Series, size: pd.Series) -> pd.Series:
-    return pd.Series([lz4_decode(Cursor(x), n).decode() for x, n in zip(b, size)])
+def from_lz4(b: pa.Array, size: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or n is None else lz4_decode(Cursor(x), n).decode() for x, n in zip(b.to_pylist(), size.to_pylist())], pa.string())
 
 
 def to_packed(bits: int):
+    """Lists of numbers in ``bits`` bits each; one that doesn't fit, or a null in a list, is an error."""
+
     @_udf("binary")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: pack(x, bits))
+    def run(v: pa.Array) -> pa.Array:
+        flat = v.flatten()
+        if flat.null_count or len(flat) and bits < 63 and not 0 <= int(pa.compute.min(flat).as_py()) <= int(pa.compute.max(flat).as_py()) < 1 << bits:
+            raise ValueError(f"a list holds a null or a number of more than {bits} bits")
+        return pa.array([None if x is None else pack(x, bits) for x in v.to_pylist()], pa.binary())
 
     return run
 
 
 def from_packed(bits: int):
     @_udf("array<bigint>")
-    def run(b: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([unpack(x, k, bits).astype(np.int64) for x, k in zip(b, n)])
+    def run(b: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or k is None else unpack(x, k, bits).astype(np.int64) for x, k in zip(b.to_pylist(), n.to_pylist())], pa.list_(pa.int64()))
 
     return run
 
@@ -359,7 +454,7 @@ def unzigzag_column(v: Column) -> Column:
     return F.shiftrightunsigned(v, 1).bitwiseXOR(-v.bitwiseAND(F.lit(1)))
 
 
-def unsigned_column(b: Column, at: int, n: int) -> Column:
+def unsigned_column(b: Column | str, at: int, n: int) -> Column:
     """``n`` bytes from place ``at`` (from 1) as an unsigned number; 8 bytes need a decimal."""
     text = F.conv(F.hex(F.substring(b, at, n)), 16, 10)
     return text.cast("decimal(20,0)" if n > 7 else "bigint")

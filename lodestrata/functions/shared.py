@@ -35,11 +35,11 @@ def delete(spark: SparkSession, path: str) -> None:
         return
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
+def settle(df: DataFrame, name: str = "table", codec: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it again. The files survive the
     loss of executors; they are removed when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     atexit.register(delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)

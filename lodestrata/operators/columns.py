@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import with_ordinal
+
 TABLE = 255  #: distinct values up to which values are stored as places in a table
 
 
@@ -71,9 +73,9 @@ def binary_profile(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def dictionary(df: DataFrame, value: str) -> DataFrame:
-    """``(ord, value)``: distinct values numbered from 0 in byte order. The numbering is of distinct values."""
-    values = df.select(F.col(value).alias("value")).where("value is not null").distinct()
-    return values.select((F.row_number().over(Window.orderBy(F.col("value").cast("binary"))) - 1).cast("long").alias("ord"), "value")
+    """``(ord, value)``: distinct values numbered from 0 in byte order, which no task does for all of them."""
+    values = df.select(F.lit("v").alias("_f"), F.col(value).alias("value")).where("value is not null").distinct()
+    return with_ordinal(values, ["_f"], [F.col("value").cast("binary")]).select("ord", "value")
 
 
 def sorted_ordinals(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -41,28 +41,36 @@ def term_fields(toks: DataFrame, docs_only: bool = False) -> DataFrame:
     return stats.join(docs, "field_name")
 
 
-def posting_lists(post: DataFrame) -> DataFrame:
-    """``(field_name, term, doc_ids, deltas)``: ascending ids and their differences, the packed form."""
-    ids = post.groupBy("field_name", "term").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
-    return ids.withColumn("deltas", F.transform("doc_ids", lambda x, i: x - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.col("doc_ids")[i - 1])))
+def posting_lists(post: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(field_name, term, block, base, doc_ids, deltas)``: the ascending ids of each term in blocks of ``block``, and
+    their differences, the first from ``base``, the last id of the block before (0 for the first).
+
+    Postings are put in order by ranges of term and document, so that the list of a frequent term is spread over
+    tasks, and what one row holds is a block; a block's base comes by a join with the block before.
+    """
+    rows = with_ordinal(post.select("field_name", "term", "doc_id"), ["field_name", "term"], [F.col("doc_id")], "at")
+    blocks = rows.groupBy("field_name", "term", F.expr(f"at div {block}").alias("block")).agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    last = blocks.select("field_name", "term", (F.col("block") + 1).alias("block"), F.element_at("doc_ids", -1).alias("base"))
+    out = blocks.join(last, ["field_name", "term", "block"], "left").withColumn("base", F.coalesce("base", F.lit(0).cast("long")))
+    before = F.concat(F.array("base"), F.slice("doc_ids", 1, F.size("doc_ids") - 1))
+    return out.select("field_name", "term", "block", "base", "doc_ids", F.zip_with("doc_ids", before, lambda a, b: a - b).alias("deltas"))
 
 
 def from_deltas(lists: DataFrame) -> DataFrame:
-    """``(field_name, term, doc_id)`` from lists of differences: the running sum of each list."""
-    at = lists.select("field_name", "term", F.posexplode("deltas").alias("i", "delta"))
-    w = Window.partitionBy("field_name", "term").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return at.select("field_name", "term", F.sum("delta").over(w).alias("doc_id"))
+    """``(field_name, term, doc_id)`` from blocks of differences: the running sum of each block from its base."""
+    at = lists.select("field_name", "term", "block", "base", F.posexplode("deltas").alias("i", "delta"))
+    w = Window.partitionBy("field_name", "term", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return at.select("field_name", "term", (F.col("base") + F.sum("delta").over(w)).alias("doc_id"))
 
 
 def posting_blocks(post: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(field_name, term, block, n, full, bits, bytes)``: postings in blocks of ``block`` differences. A full
     block is packed with as many bits as its greatest value needs; the rest are variable-length integers."""
-    w = Window.partitionBy("field_name", "term").orderBy("doc_id")
-    delta = F.col("doc_id") - F.lag("doc_id", 1, 0).over(w)
-    rows = post.select("field_name", "term", delta.alias("delta"), F.floor((F.row_number().over(w) - 1) / block).cast("long").alias("block"))
-    width = F.when(F.col("delta") == 0, 0).otherwise(F.length(F.bin("delta")))
-    rows = rows.withColumn("width", width).withColumn("vint", F.greatest(F.ceil(F.col("width") / 7), F.lit(1)))
-    out = rows.groupBy("field_name", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("width").cast("long").alias("bits"), F.sum("vint").alias("vints"))
+    rows = posting_lists(post, block)
+    width = F.transform("deltas", lambda d: F.when(d == 0, 0).otherwise(F.length(F.bin(d))))
+    vints = lambda w: F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.greatest(F.ceil(x / 7), F.lit(1)))
+    out = rows.select("field_name", "term", "block", F.size("deltas").cast("long").alias("n"), width.alias("width"))
+    out = out.select("field_name", "term", "block", "n", F.array_max("width").cast("long").alias("bits"), vints(F.col("width")).alias("vints"))
     full = F.col("n") == block
     return out.select("field_name", "term", "block", "n", full.alias("full"), "bits", F.when(full, F.ceil(F.col("n") * F.col("bits") / 8) + 1).otherwise(F.col("vints")).cast("long").alias("bytes"))
 
@@ -88,10 +96,6 @@ def shared_prefix(ordered: DataFrame) -> DataFrame:
     return rows.select("field_name", "term_ord", "term", prefix.cast("long").alias("prefix"))
 
 
-def docs_of(post: DataFrame, term: str) -> DataFrame:
-    return post.where(F.col("term") == term).select("doc_id").distinct()
-
-
 def boolean(post: DataFrame, every: list[str] = (), some: list[str] = (), none: list[str] = ()) -> DataFrame:
     """``doc_id`` of the documents with every term of ``every``, one of ``some`` and none of ``none``. Only the
     postings of these terms are looked at; one aggregation by document does the set operations."""

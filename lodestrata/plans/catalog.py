@@ -47,11 +47,12 @@ def term_dict_stats(spark, sf_dir):
     return inverted.term_fields(_tokens(spark, sf_dir))
 
 
-@_query(f"""WITH {_POST}, d AS (SELECT field_name, term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY field_name, term ORDER BY doc_id), 0) AS delta FROM post)
-SELECT field_name, term, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids, string_agg(delta, ',' ORDER BY doc_id) AS deltas FROM d GROUP BY ALL""")
+@_query(f"""WITH {_POST}, d AS (SELECT field_name, term, doc_id, doc_id - coalesce(lag(doc_id) OVER w, 0) AS delta, (row_number() OVER w - 1) // 128 AS block FROM post WINDOW w AS (PARTITION BY field_name, term ORDER BY doc_id))
+SELECT field_name, term, block, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids, string_agg(delta, ',' ORDER BY doc_id) AS deltas FROM d GROUP BY ALL""")
 def postings(spark, sf_dir):
+    """Posting lists in blocks of 128 documents."""
     lists = inverted.posting_lists(inverted.postings(_tokens(spark, sf_dir)))
-    return lists.select("field_name", "term", _joined("doc_ids").alias("doc_ids"), _joined("deltas").alias("deltas"))
+    return lists.select("field_name", "term", "block", _joined("doc_ids").alias("doc_ids"), _joined("deltas").alias("deltas"))
 
 
 @_query(f"WITH {_POST} SELECT field_name, term, doc_id FROM post")
@@ -260,6 +261,13 @@ def field_catalog(spark, sf_dir):
     return fields.flags(rows)
 
 
+@_query("WITH f(field_name, bits, opts) AS (VALUES " + ", ".join(f"('{m}', {b}, {o})" for _, m, b, o, _ in _CATALOG) + ") SELECT bool_or(opts >= 3) AS has_prox, bool_or(opts >= 4) AS has_offsets, bool_or((bits & 4) <> 0) AS has_payloads FROM f")
+def field_capabilities(spark, sf_dir):
+    from ..operators import fields
+
+    return fields.capabilities(field_catalog(spark, sf_dir))
+
+
 @_query("""SELECT doc_id // 100 AS segment, count(*) AS segment_size, count(l.doc_id) AS labelled, count(*) - count(l.doc_id) AS del_count, min(d.doc_id) AS doc_base FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL""")
 def segment_catalog(spark, sf_dir):
     from ..operators import fields
@@ -268,17 +276,9 @@ def segment_catalog(spark, sf_dir):
     return fields.segments(live.withColumn("segment", F.expr("doc_id div 100")), "segment", "doc_id", "live")
 
 
-@_query(f"WITH {_TOKENS}, n AS (SELECT doc_id, count(*) AS norm FROM tok GROUP BY ALL) SELECT d.doc_id, d.source, n.norm, l.quality FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN labels l USING (doc_id) WHERE d.doc_id IN (3, 7, 24, 99)")
-def doc_lookup(spark, sf_dir):
-    keys = F.col("doc_id").isin(3, 7, 24, 99)
-    docs = _t(spark, sf_dir, "documents").where(keys)
-    length = inverted.norms(inverted.tokens(docs, F.col("lang"), F.col("doc_id"), F.col("text"))).select("doc_id", "norm")
-    return docs.select("doc_id", "source").join(length, "doc_id", "left").join(_t(spark, sf_dir, "labels").where(keys).select("doc_id", "quality"), "doc_id", "left")
-
-
 @_query(f"WITH {_TOKENS}, n AS (SELECT doc_id, count(*) AS norm FROM tok GROUP BY ALL) SELECT d.doc_id, d.source, n.norm, l.quality FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN labels l USING (doc_id)")
-def doc_fields(spark, sf_dir):
-    """Source, norm and label of every document; doc_lookup is the same for four of them."""
+def doc_lookup(spark, sf_dir):
+    """Source, norm and label of every document, by its key; a filter on the result looks single ones up."""
     docs = _t(spark, sf_dir, "documents")
     length = inverted.norms(_tokens(spark, sf_dir)).select("doc_id", "norm")
     return docs.select("doc_id", "source").join(length, "doc_id", "left").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -300,43 +300,57 @@ def tlong_scale(spark, sf_dir):
     return ms.groupBy(codec.time_unit_column(F.col("ms")).alias("unit")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")
+@_query("SELECT event_id, CASE WHEN event_id % 7 <> 3 THEN epoch_us(ts) // 1000 END AS ms FROM events")
 def codec_tlong(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", codec.from_tlong(codec.to_tlong(F.expr(_MS))).alias("ms"))
+    return _t(spark, sf_dir, "events").select("event_id", codec.from_tlong(codec.to_tlong(F.when(F.col("event_id") % 7 != 3, F.expr(_MS)))).alias("ms"))
 
 
-@_query("SELECT o_orderkey, o_custkey AS value FROM orders")
+_SOME = "o_orderkey % 7 <> 3"  #: the others are null in the queries of codecs
+
+
+def _some(c):
+    return F.when(F.expr(_SOME), c)
+
+
+@_query(f"SELECT o_orderkey, CASE WHEN {_SOME} THEN o_custkey END AS value FROM orders")
 def codec_vint(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").select("o_orderkey", codec.from_varied(codec.to_varied(F.col("o_custkey"))).alias("value"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", codec.from_varied(codec.to_varied(_some(F.col("o_custkey")))).alias("value"))
 
 
-@_query("SELECT o_orderkey, o_orderkey * 1234567891 AS value FROM orders")
+@_query(f"SELECT o_orderkey, CASE WHEN {_SOME} THEN o_orderkey * 1234567891 END AS value FROM orders")
 def codec_vlong(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").select("o_orderkey", codec.from_varied(codec.to_varied(F.col("o_orderkey") * F.lit(1234567891))).alias("value"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", codec.from_varied(codec.to_varied(_some(F.col("o_orderkey") * F.lit(1234567891)))).alias("value"))
 
 
-@_query("SELECT o_orderkey, o_totalprice AS value FROM orders")
+@_query(f"SELECT o_orderkey, CASE WHEN {_SOME} THEN o_totalprice - 100000 END AS value FROM orders")
 def codec_zdouble(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").select("o_orderkey", codec.from_zdouble(codec.to_zdouble(F.col("o_totalprice"))).alias("value"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", codec.from_zdouble(codec.to_zdouble(_some(F.col("o_totalprice") - 100000))).alias("value"))
 
 
-@_query("SELECT p_partkey, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS value FROM part")
+@_query("SELECT p_partkey, CASE WHEN p_partkey % 7 <> 3 THEN CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) END AS value FROM part")
 def codec_zfloat(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", codec.from_zfloat(codec.to_zfloat(F.col("p_retailprice").cast("float"))).cast("double").alias("value"))
+    some = F.when(F.col("p_partkey") % 7 != 3, F.col("p_retailprice").cast("float"))
+    return _t(spark, sf_dir, "part").select("p_partkey", codec.from_zfloat(codec.to_zfloat(some)).cast("double").alias("value"))
 
 
-@_query("SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS vals FROM orders GROUP BY ALL")
+@_query("SELECT o_custkey, CASE WHEN o_custkey % 7 <> 3 THEN string_agg(o_orderkey, ',' ORDER BY o_orderkey) END AS vals FROM orders GROUP BY o_custkey")
 def codec_packed(spark, sf_dir):
-    rows = columns.sorted_numeric(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+    rows = columns.sorted_numeric(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").withColumn("values", F.when(F.col("o_custkey") % 7 != 3, F.col("values")))
     return rows.select("o_custkey", F.array_join(F.transform(codec.from_packed(37)(codec.to_packed(37)("values"), F.size("values")), lambda x: x.cast("string")), ",").alias("vals"))
 
 
-@_query("SELECT conv_id, turn, text FROM conversations")
+@_query("SELECT conv_id, turn, CASE WHEN conv_id % 7 <> 3 THEN text END AS text FROM conversations")
 def codec_lz4(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", codec.from_lz4(codec.to_lz4(F.col("text")), F.octet_length("text")).alias("text"))
+    text = F.when(F.col("conv_id") % 7 != 3, F.col("text"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", codec.from_lz4(codec.to_lz4(text), F.octet_length(text)).alias("text"))
+
+
+_CRC = "list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 
 
-@_query(None)
+@_query(f"""WITH t AS (SELECT {_CRC} AS t), b AS (SELECT doc_id, hex(encode(text))[: -17] AS h FROM documents),
+l AS (SELECT doc_id, list_transform(range(1, len(h) + 1, 2), lambda i: ('0x' || h[i : i + 1])::BIGINT) AS b FROM b)
+SELECT doc_id, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM l, t""")
 def checksum(spark, sf_dir):
     """CRC-32 of every text but its last 8 bytes, as the files of an index hold it."""
     raw = F.encode("text", "UTF-8")

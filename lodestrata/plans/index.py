@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from ..functions.shared import delete, shared_dir
+from ..operators import fields as catalog_fields
 from ..sources import segidx
 from ..sources.segwrite import Field, write_index
 from .catalog import _query, _t
@@ -27,6 +29,14 @@ _LINES = [
     Field("part", dv="numeric"),
     Field("box", points=4, dims=2),
 ]
+_LABELS = [  # columns with nulls, of every kind
+    Field("doc_id", dv="numeric"),
+    Field("quality", stored="int", dv="numeric"),
+    Field("big", stored="long", dv="numeric", points=8),
+    Field("ratio", stored="double"),
+    Field("origin", options=2, norms=True, stored="string"),
+    Field("tongue", stored="binary", dv="sorted"),
+]
 _WORDS = "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS freq FROM w GROUP BY ALL)"
 _SEGMENTS = 4  #: at least; a table of more partitions gives a segment for each of them, without a shuffle
 _written: dict[tuple[str, str, str], str] = {}
@@ -42,6 +52,9 @@ def _index(spark: SparkSession, sf_dir: str, name: str) -> str:
             df = df.select("doc_id", "text", "lang", F.encode("source", "UTF-8").alias("source"), "n_chars").withColumn("lang_", F.encode("lang", "UTF-8"))
             fields = [f if f.name != "lang" else Field("lang", options=1, stored="string") for f in _DOCUMENTS]
             fields = [*fields[:3], Field("lang_", dv="sorted"), Field("source", stored="binary", dv="sorted_set"), fields[4]]
+        elif name == "labels":
+            fields = _LABELS
+            df = _t(spark, sf_dir, "documents").join(df, "doc_id", "left").select("doc_id", "quality", F.when(F.col("doc_id") % 3 != 1, F.col("doc_id") + (1 << 53)).alias("big"), F.when(F.col("toxic") == 0, F.col("n_chars") / 7).alias("ratio"), F.when(F.col("quality") == 1, F.col("source")).alias("origin"), F.encode(F.when(F.col("toxic") == 0, F.col("lang")), "UTF-8").alias("tongue"))
         else:
             fields = _LINES
             df = df.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_quantity", F.col("l_partkey").alias("part"), F.array(F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int")).alias("box"))
@@ -117,7 +130,7 @@ def index_points_2d(spark, sf_dir):
 
 @_query("SELECT count(*) AS points, count(*) AS docs, min(CAST(l_quantity AS BIGINT)) AS low, max(CAST(l_quantity AS BIGINT)) AS high FROM lineitem")
 def index_points_tree(spark, sf_dir):
-    low, high = (F.conv(F.hex(F.substring(c, 1, 4)), 16, 10).cast("long") - (1 << 31) for c in ("min_packed", "max_packed"))
+    low, high = (codec.unsigned_column(F.col(c), 1, 4) - (1 << 31) for c in ("min_packed", "max_packed"))
     return _read(spark, sf_dir, "points_tree", "lineitem").agg(F.sum("point_count").alias("points"), F.sum("doc_count").alias("docs"), F.min(low).alias("low"), F.max(high).alias("high"))
 
 
@@ -157,3 +170,81 @@ def index_structure(spark, sf_dir):
     compound = entries.agg(F.bool_and(F.col("full") & (F.col("n") >= 10)).alias("compound"))
     heads = _read(spark, sf_dir, "term_index").agg((F.bool_and(F.col("empty_output").isNotNull()) & (F.count_distinct("field_name") == 2)).alias("terms_indexed"))
     return points.crossJoin(compound).crossJoin(heads)  # a row each
+
+
+@_query(f"WITH {_WORDS} SELECT doc_id, freq FROM p WHERE term = 'the'")
+def index_term_seek(spark, sf_dir):
+    """The documents of one term: only its blocks of terms and its postings are read."""
+    p = _read(spark, sf_dir, "postings").where((F.col("field_name") == "text") & (F.col("term") == F.lit(bytearray(b"the"))))
+    return _named(p, spark, sf_dir).select("doc_id", "freq")
+
+
+@_query(f"""WITH {_WORDS} (SELECT doc_id FROM p WHERE term = 'the' INTERSECT SELECT doc_id FROM p WHERE term IN ('that', 'ed')) EXCEPT SELECT doc_id FROM p WHERE term = 'an'""")
+def index_boolean(spark, sf_dir):
+    return _named(segidx.boolean(spark, _index(spark, sf_dir, "documents"), "text", every=["the"], some=["that", "ed"], none=["an"]), spark, sf_dir).select("doc_id")
+
+
+def _found_terms(spark, sf_dir, low: bytes, high: bytes, strict: bool):
+    term = F.col("term")
+    t = segidx.read(spark, _index(spark, sf_dir, "documents"), "terms", ["segment", "field_name", "term", "doc_freq", "total_term_freq"])
+    t = t.where((F.col("field_name") == "text") & (term >= F.lit(bytearray(low))) & ((term < F.lit(bytearray(high))) if strict else (term <= F.lit(bytearray(high)))))
+    return t.groupBy(F.decode("term", "UTF-8").alias("term")).agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_term_freq").alias("total_term_freq"))
+
+
+@_query(f"WITH {_WORDS} SELECT term, count(*) AS doc_freq, CAST(sum(freq) AS BIGINT) AS total_term_freq FROM p WHERE starts_with(term, 'th') GROUP BY ALL")
+def index_prefix(spark, sf_dir):
+    return _found_terms(spark, sf_dir, b"th", b"ti", True)
+
+
+@_query(f"WITH {_WORDS} SELECT term, count(*) AS doc_freq, CAST(sum(freq) AS BIGINT) AS total_term_freq FROM p WHERE term BETWEEN 'an' AND 'ed' GROUP BY ALL")
+def index_range(spark, sf_dir):
+    return _found_terms(spark, sf_dir, b"an", b"ed", False)
+
+
+@_query("SELECT CAST(l_quantity AS BIGINT) AS quantity, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 GROUP BY ALL")
+def index_points_range(spark, sf_dir):
+    """Points with a first dimension from 10 to 12: leaves that have none aren't read."""
+    p = _read(spark, sf_dir, "points", "lineitem").where("field_name = 'box' AND dim = 0 AND value >= 10 AND value <= 12")
+    return p.groupBy(F.col("value").alias("quantity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("""SELECT d.doc_id, quality::BIGINT AS quality, CASE WHEN d.doc_id % 3 <> 1 THEN d.doc_id + 9007199254740992 END AS big, CASE WHEN d.doc_id % 3 <> 1 THEN d.doc_id + 9007199254740992 END AS big_stored,
+CASE WHEN toxic = 0 THEN n_chars / 7 END AS ratio, CASE WHEN quality = 1 THEN source END AS origin, CASE WHEN toxic = 0 THEN lang END AS tongue FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def index_nullable(spark, sf_dir):
+    """Columns with nulls, written and read again as columnar values and as stored ones."""
+    v = _read(spark, sf_dir, "dv_values", "labels").groupBy("segment", "doc_id")
+    one = lambda name, c: F.max(F.when(F.col("field_name") == name, F.col(c)))
+    v = v.agg(one("doc_id", "long_value").alias("id"), one("quality", "long_value").alias("quality"), one("big", "long_value").alias("big"), F.decode(one("tongue", "bin_value"), "UTF-8").alias("tongue"))
+    s = _read(spark, sf_dir, "stored", "labels").groupBy("segment", "doc_id").agg(one("big", "long").alias("big_stored"), one("ratio", "double").alias("ratio"), one("origin", "str").alias("origin"))
+    return v.join(s, ["segment", "doc_id"], "left").select(F.col("id").alias("doc_id"), "quality", "big", "big_stored", "ratio", "origin", "tongue")
+
+
+@_query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS norm, 'text' AS field_name FROM documents")
+def index_norms_checked(spark, sf_dir):
+    """Norms with the names of their fields; one of a field that can't have any would be an error."""
+    fields = _read(spark, sf_dir, "fields").select("field_number", "field_name", "field_bits", "index_option_bits").distinct()
+    n = catalog_fields.check_norms(_read(spark, sf_dir, "norms").drop("field_name"), fields)
+    return _named(n, spark, sf_dir).select("doc_id", "norm", "field_name")
+
+
+@_query("SELECT true AS tails_ok, true AS counts_match, true AS sizes_match, count(*) > 0 AS some FROM documents")
+def index_stored_info(spark, sf_dir):
+    """What follows the chunks of stored documents: their number, and that of those which weren't full."""
+    info = _read(spark, sf_dir, "stored_info").agg(F.bool_and("tail_ok").alias("tails_ok"), F.sum("num_chunks").alias("n"), F.sum("num_dirty_chunks").alias("dirty"))
+    chunks = _read(spark, sf_dir, "stored_chunks").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("raw_length") < 16_384).cast("long")).alias("few"))
+    return info.crossJoin(chunks).select("tails_ok", (F.col("n") == F.col("m")).alias("counts_match"), (F.col("dirty") == F.col("few")).alias("sizes_match"), (F.col("n") > 0).alias("some"))  # a row each
+
+
+@_query("SELECT '6.6.0' AS index_version, '6.6.0' AS min_segment_version, '6.6.0' AS version, count(*) AS docs FROM documents")
+def index_versions(spark, sf_dir):
+    """Versions in the commit point and in the segments, and the documents they count."""
+    seg = _read(spark, sf_dir, "segment_info").groupBy("version").agg(F.sum("segment_size").alias("docs"))
+    return _read(spark, sf_dir, "commit").select("index_version", "min_segment_version").crossJoin(seg)  # a row each
+
+
+@_query("SELECT count(*) AS docs, 6 AS fields, true AS sums_match FROM documents")
+def index_dump(spark, sf_dir):
+    """The structures of an index as JSON, and what can be read from it again."""
+    d = segidx.dump(spark, _index(spark, sf_dir, "documents"), "segment_info", "fields", "file_headers")
+    get = lambda name, path, kind: F.when(F.col("relation") == name, F.get_json_object("json", path).cast(kind))
+    return d.agg(F.sum(get("segment_info", "$.segment_size", "long")).alias("docs"), F.count_distinct(get("fields", "$.field_name", "string")).cast("int").alias("fields"), F.bool_and(get("file_headers", "$.ok", "boolean")).alias("sums_match"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import segments as S
@@ -18,6 +20,7 @@ from .segments import Segment
 
 ROWS = 8_192  #: rows of a batch
 GROUP = 2_048  #: chunks of stored documents that one task reads
+DOCS = 1 << 20  #: documents of which one task reads the norms or numbers; a multiple of 8
 
 _ENTRY = "format string, missing_offset bigint, offset bigint, count bigint, min_value bigint, gcd bigint, bits_per_value int, table array<bigint>, min_length bigint, max_length bigint, addr_offset bigint, end_offset bigint"
 SCHEMAS = {
@@ -28,6 +31,7 @@ SCHEMAS = {
     "file_headers": "segment string, file string, magic bigint, codec string, format_version bigint, object_id string, suffix_length int, suffix string, footer_magic bigint, checksum_algo bigint, checksum_expected bigint, checksum_actual bigint, ok boolean",
     "fields": "segment string, field_number bigint, field_name string, field_bits int, store_term_vec boolean, omit_norm boolean, store_payload boolean, index_option_bits int, doc_values_bits int, doc_values_gen bigint, attributes map<string,string>, dimension_count int, dimension_member_bytes int",
     "stored_chunks": "segment string, block_id bigint, chunk_id bigint, doc_base bigint, start_pointer bigint, chunk_docs bigint, raw_length bigint",
+    "stored_info": "segment string, chunk_size bigint, packed_version bigint, max_pointer bigint, num_chunks bigint, num_dirty_chunks bigint, tail_ok boolean",
     "stored": "segment string, doc_id bigint, ord int, doc_start_ptr bigint, field_number bigint, field_name string, type_tag int, str string, bin binary, int int, float float, long bigint, double double",
     "dv_meta": f"segment string, field_name string, field_type string, role string, {_ENTRY}",
     "dv_values": "segment string, field_name string, doc_id bigint, ord int, long_value bigint, bin_value binary",
@@ -45,11 +49,13 @@ _BY_FIELD = {"dv_values", "norms", "points", "terms", "postings"}
 
 @dataclass
 class Part(InputPartition):
-    """What one task reads of a segment: all of it, a field, or chunks; field -1 is nothing."""
+    """What one task reads of a segment: all of it, a field, a range of its documents, or chunks; field -1 is nothing."""
 
     segment: str
     number: int | None = None
     starts: tuple[int, ...] = ()
+    low: int = 0
+    high: int | None = None
 
 
 def _own_fields(seg: Segment, table: str) -> list[int]:
@@ -60,11 +66,17 @@ def _own_fields(seg: Segment, table: str) -> list[int]:
     return list(seg.point_fields() if table == "points" else seg.term_fields)
 
 
-def _point_rows(seg: Segment, number: int) -> Iterator[dict]:
-    from decimal import Decimal
-
-    name = seg.fields[number]["field_name"]
-    for leaf, docs, raw in seg.points(number):
+def _point_rows(seg: Segment, number: int, values: tuple[int | None, int | None], dims: set | None) -> Iterator[dict]:
+    name, size = seg.fields[number]["field_name"], seg.fields[number]["dimension_member_bytes"]
+    box = None
+    if size and size <= 8 and (dims is not None or values != (None, None)):
+        half = 1 << (8 * size - 1)
+        low, high = (min(max(v, -half), half - 1) for v in (values[0] if values[0] is not None else -half, values[1] if values[1] is not None else half - 1))
+        own = (low + half).to_bytes(size, "big"), (high + half).to_bytes(size, "big")
+        box = {d: own for d in range(seg.fields[number]["dimension_count"]) if dims is None or d in dims}
+        if values[0] is not None and values[0] >= half or values[1] is not None and values[1] < -half:
+            return  # beyond what so many bytes hold
+    for leaf, docs, raw in seg.points(number, box):
         n = raw.shape[2]
         for i, doc in enumerate(docs):
             for dim in range(raw.shape[1]):
@@ -96,7 +108,7 @@ def _chunk_rows(seg: Segment) -> Iterator[dict]:
         yield row | {"chunk_docs": n, "raw_length": int(np.sum(sizes))}
 
 
-def _rows(seg: Segment, table: str, part: Part) -> Iterator[dict]:
+def _rows(seg: Segment, table: str, part: Part, reader: "SegmentReader") -> Iterator[dict]:
     f = part.number
     if table == "segment_info":
         yield seg.info
@@ -114,23 +126,30 @@ def _rows(seg: Segment, table: str, part: Part) -> Iterator[dict]:
     elif table == "dv_meta":
         yield from _dv_meta_rows(seg)
     elif table == "dv_values":
-        yield from seg.dv_values(seg.fields[f]["field_name"])
+        yield from seg.dv_values(seg.fields[f]["field_name"], part.low, part.high)
+    elif table == "stored_info":
+        if (info := seg.stored_info()) is not None:
+            yield info
     elif table == "norms":
         base = {"field_number": f, "field_name": seg.fields[f]["field_name"]}
-        yield from (base | {"doc_id": i, "norm": v} for i, v in enumerate(seg.norms(f).tolist()))
+        yield from (base | {"doc_id": i, "norm": v} for i, v in enumerate(seg.norms(f, part.low, part.high).tolist(), part.low))
     elif table == "points_index":
         yield from ({"field_number": n, "field_name": seg.fields[n]["field_name"], "fp": p} for n, p in seg.point_fields().items())
     elif table == "points_tree":
         for n in seg.point_fields():
             yield {"field_number": n, "field_name": seg.fields[n]["field_name"]} | seg.tree(n, seg.open(".dim"))
     elif table == "points":
-        yield from _point_rows(seg, f)
+        yield from _point_rows(seg, f, reader.between("value"), reader.only.get("dim"))
     elif table == "term_fields":
         yield from seg.term_fields.values()
     elif table == "term_index":
         yield from map(seg.automaton, seg.term_fields)
     elif table == "terms":
-        yield from seg.terms(f)
+        within = reader.terms()
+        if within is not None and "term_ord" in reader.columns:  # what is skipped can't be counted: only the end may be
+            ends = [high for _, high in within]
+            within = None if None in ends else [(b"", max(ends, default=b""))]
+        yield from seg.terms(f, within)
 
 
 class SegmentReader(DataSourceReader):
@@ -141,16 +160,44 @@ class SegmentReader(DataSourceReader):
         self.permissive = options.get("mode", "failfast").lower() == "permissive"
         self.columns, self.arrow = schema.fieldNames(), to_arrow_schema(schema)
         self.only: dict[str, set] = {}
+        self.low: dict = {}
+        self.high: dict = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality with names of segments and fields picks what is opened; Spark applies the other filters."""
+        """Equality with names of segments and fields picks what is opened. Filters on terms, documents and values of
+        points pick blocks, chunks and leaves, which hold other rows as well; so Spark applies these again."""
         for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute in (("segment",), ("field_name",)):
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else ""
+            if isinstance(f, (EqualTo, In)) and name in ("segment", "field_name", "term", "doc_id", "value", "dim"):
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.only[f.attribute[0]] = self.only.get(f.attribute[0], values) & values
-            else:
+                values = {bytes(v) for v in values} if name == "term" else values
+                self.only[name] = self.only.get(name, values) & values
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and name in ("term", "doc_id", "value"):
+                value = bytes(f.value) if name == "term" else f.value
+                self.low[name] = max(self.low.get(name, value), value)
+            elif isinstance(f, (LessThan, LessThanOrEqual)) and name in ("term", "doc_id", "value"):
+                value = bytes(f.value) if name == "term" else f.value
+                self.high[name] = min(self.high.get(name, value), value)
+            if name not in ("segment", "field_name") or not isinstance(f, (EqualTo, In)):
                 yield f
 
+    def between(self, name: str) -> tuple:
+        """The least and the greatest value that the filters allow; None where there is no bound."""
+        own = self.only.get(name)
+        if own is not None and not own:
+            own = None  # nothing passes; Spark's filters see to that
+        low, high = self.low.get(name), self.high.get(name)
+        if own:
+            low, high = (x for x in (min(own) if low is None else max(low, min(own)), max(own) if high is None else min(high, max(own))))
+        return low, high
+
+    def terms(self) -> list[tuple[bytes, bytes | None]] | None:
+        """Closed intervals that hold the terms that the filters allow; None for all."""
+        low, high = self.low.get("term"), self.high.get("term")
+        if "term" in self.only:
+            return sorted((t, t) for t in self.only["term"] if (low is None or t >= low) and (high is None or t <= high))
+        return None if low is None and high is None else [(low or b"", high)]
+
     def wanted(self, column: str, value: str) -> bool:
         return column not in self.only or value in self.only[column]
 
@@ -161,7 +208,8 @@ class SegmentReader(DataSourceReader):
         return S.commit(self.system, self.root, self.generation or S.latest(self.system, self.root))
 
     def partitions(self) -> list[Part]:
-        """A task for each segment and field, or for some chunks of stored documents."""
+        """A task for each segment and field, for DOCS documents of a field whose values can be read from any place, or
+        for GROUP chunks of stored documents; nothing for documents that the filters rule out."""
         if self.table in ("commit", "segments"):
             return [Part("")]
         parts = []
@@ -171,9 +219,14 @@ class SegmentReader(DataSourceReader):
             try:
                 seg = Segment(self.system, self.root, s["seg_name"])
                 if self.table in _BY_FIELD:
-                    parts += [Part(seg.name, f) for f in _own_fields(seg, self.table) if self.wanted("field_name", seg.fields[f]["field_name"])]
+                    split = {m["info"]["field_number"] for m in seg.dv_meta() if S.ranged(m)} if self.table == "dv_values" else set()
+                    for f in _own_fields(seg, self.table):
+                        if self.wanted("field_name", seg.fields[f]["field_name"]):
+                            parts += self._ranges(seg, f) if self.table == "norms" or f in split else [Part(seg.name, f)]
                 elif self.table == "stored":
-                    starts = [c["start_pointer"] for c in seg.chunks()]
+                    bases = [c["doc_base"] for c in seg.chunks()] + [seg.size]
+                    low, high = self.between("doc_id")
+                    starts = [c["start_pointer"] for c, end in zip(seg.chunks(), bases[1:]) if (high is None or c["doc_base"] <= high) and (low is None or end > low)]
                     parts += [Part(seg.name, None, tuple(starts[i : i + GROUP])) for i in range(0, len(starts), GROUP)]
                 else:
                     parts.append(Part(seg.name))
@@ -183,13 +236,19 @@ class SegmentReader(DataSourceReader):
                 parts.append(Part(s["seg_name"]))  # the task meets the damage again and gives its row
         return parts or [Part("", -1)]
 
+    def _ranges(self, seg: Segment, field: int) -> list[Part]:
+        low, high = self.between("doc_id")
+        low, high = max(0, low or 0), seg.size if high is None else min(seg.size, high + 1)
+        low -= low % 8
+        return [Part(seg.name, field, (), at, min(at + DOCS, high)) for at in range(low, high, DOCS)]
+
     def _batch(self, rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t.type) for c, t in zip(self.columns, self.arrow)], schema=self.arrow)
 
     def _postings(self, seg: Segment, number: int) -> Iterator[pa.RecordBatch]:
         """Whole arrays for many terms at once."""
         name = seg.fields[number]["field_name"]
-        source = seg.postings(number)
+        source = seg.postings(number, self.terms())
         while True:
             kept, n = [], 0
             while n < ROWS * 4 and (one := next(source, None)) is not None:
@@ -219,7 +278,7 @@ class SegmentReader(DataSourceReader):
             if self.table == "postings":
                 yield from self._postings(seg, part.number)
                 return
-            rows = (r for r in _rows(seg, self.table, part) if "field_name" not in r or self.wanted("field_name", r["field_name"]))
+            rows = (r for r in _rows(seg, self.table, part, self) if "field_name" not in r or self.wanted("field_name", r["field_name"]))
             while some := [{"segment": seg.name} | r for r in islice(rows, ROWS)]:
                 yield self._batch(some)
         except (S.Corrupt, OSError, UnicodeDecodeError) as e:
@@ -231,8 +290,10 @@ class SegmentReader(DataSourceReader):
 class SegmentSource(DataSource):
     """Options: ``path`` (a folder), ``table`` (a key of SCHEMAS), ``generation`` (of the commit point; the newest
     without it), ``mode`` (failfast; permissive: a part that can't be read gives a row with its error in an
-    extra column ``_corrupt`` after the rows before the damage). Filters on ``segment`` and ``field_name`` reach
-    the planning with ``spark.sql.python.filterPushdown.enabled``. Deleted documents are included."""
+    extra column ``_corrupt`` after the rows before the damage). With ``spark.sql.python.filterPushdown.enabled``
+    filters on ``segment`` and ``field_name`` and, of stored documents, norms and numbers, on ``doc_id`` reach the
+    planning; those on ``term`` the blocks of terms and their postings, and those on ``value`` and ``dim`` the
+    leaves of points. Deleted documents are included."""
 
     @classmethod
     def name(cls) -> str:
@@ -254,7 +315,39 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read(spark: SparkSession, path: str, table: str, **options: str):
-    """A relation of the index in the folder ``path``."""
+def read(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, **options: str) -> DataFrame:
+    """A relation of the index in the folder ``path``, or some columns of it. Of ``terms`` without ``term_ord`` a
+    filter on the term skips what it rules out; with it, terms must be counted from the first."""
     register(spark)
-    return spark.read.format("segidx").options(table=table, **options).load(path)
+    source = spark.read.format("segidx").options(table=table, **options)
+    if columns is not None:
+        whole = T.StructType.fromDDL(SCHEMAS[table])
+        source = source.schema(T.StructType([whole[c] for c in columns]))
+    return source.load(path)
+
+
+def boolean(spark: SparkSession, path: str, field: str, every: list[str] = (), some: list[str] = (), none: list[str] = ()) -> DataFrame:
+    """``(segment, doc_id)`` of the documents with every term of ``every``, one of ``some`` and none of ``none`` in
+    ``field``. The terms are sought in the index, and no other postings are read. A search for nothing but
+    ``none``, or for no terms, finds nothing, as no posting names those documents."""
+    wanted = [t.encode() for t in (*every, *some, *none)]
+    post = read(spark, path, "postings").where((F.col("field_name") == field) & F.col("term").isin([bytearray(t) for t in wanted]))
+    has = lambda t: F.max((F.col("term") == F.lit(bytearray(t.encode()))).cast("int")) == 1
+    test = F.lit(bool(every or some))
+    for t in every:
+        test = test & has(t)
+    for t in none:
+        test = test & ~has(t)
+    if some:
+        test = test & (F.max(F.col("term").isin([bytearray(t.encode()) for t in some]).cast("int")) == 1)
+    return post.groupBy("segment", "doc_id").agg(test.alias("ok")).where("ok").select("segment", "doc_id")
+
+
+def dump(spark: SparkSession, path: str, *tables: str) -> DataFrame:
+    """``(relation, json)``: rows of the named relations, or of all that describe the index and hold no documents."""
+    names = tables or ("commit", "segments", "segment_info", "compound_entries", "file_headers", "fields", "stored_info", "dv_meta", "points_index", "points_tree", "term_fields", "term_index")
+    parts = [read(spark, path, t).select(F.lit(t).alias("relation"), F.to_json(F.struct("*")).alias("json")) for t in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

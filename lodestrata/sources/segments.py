@@ -113,6 +113,14 @@ def latest(system: fs.FileSystem, root: str) -> str:
     return max(names, key=lambda n: int(n, 36))
 
 
+RANGES = (DELTA, GCD, TABLE, CONST)  #: formats of numbers that can be decoded from any place
+
+
+def ranged(one: dict) -> bool:
+    """Whether the values of a field, by its meta data, can be decoded for a range of documents."""
+    return one["type"] == NUMERIC and one["numeric"]["format"] in RANGES
+
+
 def packed(c: Cursor, n: int, bits: int) -> np.ndarray:
     return unpack(c.take(bytes_for(n, bits)), n, bits).astype(np.int64)
 
@@ -122,6 +130,7 @@ class Segment:
 
     def __init__(self, system: fs.FileSystem, root: str, name: str):
         self.system, self.root, self.name = system, root, name
+        self.read_blocks = self.read_leaves = 0  # of terms and of points, so far
 
     @cached_property
     def info(self) -> dict:
@@ -187,13 +196,13 @@ class Segment:
 
     # stored documents
 
-    def chunks(self) -> list[dict]:
-        """Chunks of stored documents: first document and start of each."""
+    @cached_property
+    def _chunks(self) -> tuple[int, list[dict], int]:
         c = self.open(".fdx")
         if c is None:
-            return []
+            return 0, [], 0
         header(c)
-        c.vint()
+        version = c.vint()
         found, block = [], 0
         while n := c.vint():
             base, average, bits = c.vint(), c.vint(), c.vint()
@@ -202,7 +211,23 @@ class Segment:
             at = [base + average * i + unzigzag(int(d)) for i, d in enumerate(packed(c, n, bits))]
             found += [{"block_id": block, "chunk_id": i, "doc_base": d, "start_pointer": p} for i, (d, p) in enumerate(zip(docs, at))]
             block += 1
-        return found
+        return version, found, c.vlong()
+
+    def chunks(self) -> list[dict]:
+        """Chunks of stored documents: first document and start of each."""
+        return self._chunks[1]
+
+    def stored_info(self) -> dict | None:
+        """Chunk size, the place where the chunks end, and the numbers of chunks and of those that weren't full when
+        they were written, which follow there; ``tail_ok``: these are the last bytes before the footer."""
+        c = self.open(".fdt")
+        if c is None:
+            return None
+        header(c)
+        found = {"chunk_size": c.vint(), "packed_version": self._chunks[0], "max_pointer": self._chunks[2]}
+        c.at = found["max_pointer"]
+        found |= {"num_chunks": c.vlong(), "num_dirty_chunks": c.vlong()}
+        return found | {"tail_ok": c.at == c.end - 16 and found["num_chunks"] == len(self.chunks())}
 
     def chunk(self, c: Pages, at: int, chunk_size: int) -> tuple[int, np.ndarray, np.ndarray, bytes]:
         """First document, fields of each document, where each begins and ends, and the chunk's bytes."""
@@ -361,8 +386,9 @@ class Segment:
             out[lo : lo + k] = low + line + delta
         return out
 
-    def _numbers(self, d: Pages, e: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Values and whether each of the ``n`` places has one."""
+    def _numbers(self, d: Pages, e: dict, n: int, lo: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Values and whether each of ``n`` places from ``lo``, a multiple of 8, has one; the formats in RANGES are
+        decoded from there, others must begin at 0."""
         kind = e["format"]
         if kind == SPARSE:
             docs = self._monotonic(d, e["missing_offset"], e["docs"], e)
@@ -374,15 +400,16 @@ class Segment:
         elif kind == MONOTONIC:
             return self._monotonic(d, e["offset"], n, e), np.ones(n, bool)
         else:
-            raw = unpack(d.part(e["offset"], bytes_for(n, e["bits_per_value"])), n, e["bits_per_value"]).astype(np.int64)
+            bits = e["bits_per_value"]
+            raw = unpack(d.part(e["offset"] + lo * bits // 8, bytes_for(n, bits)), n, bits).astype(np.int64)
             values = np.array(e["table"], np.int64)[raw] if kind == TABLE else raw * np.int64(e.get("gcd", 1)) + np.int64(e["min_value"])
-        return values, self._there(d, e["missing_offset"], n)
+        return values, self._there(d, e["missing_offset"], n, lo)
 
     @staticmethod
-    def _there(d: Pages, at: int, n: int) -> np.ndarray:
+    def _there(d: Pages, at: int, n: int, lo: int = 0) -> np.ndarray:
         if at in (NONE_MISSING, ALL_MISSING):
             return np.full(n, at == NONE_MISSING)
-        return np.unpackbits(np.frombuffer(d.part(at, -(-n // 8)), np.uint8), count=n, bitorder="little").astype(bool)
+        return np.unpackbits(np.frombuffer(d.part(at + lo // 8, -(-n // 8)), np.uint8), count=n, bitorder="little").astype(bool)
 
     def _bytes(self, d: Pages, e: dict) -> list[bytes]:
         if e["format"] == FIXED:
@@ -395,11 +422,19 @@ class Segment:
         raw = d.part(e["offset"], off[-1])
         return [raw[a:b] for a, b in zip(off, off[1:])]
 
-    def dv_values(self, name: str) -> Iterator[dict]:
-        """``doc_id, ord, long_value, bin_value`` of every value of a field; of sorted ones the place in the
-        dictionary is the long value."""
+    def dv_values(self, name: str, lo: int = 0, hi: int | None = None) -> Iterator[dict]:
+        """``doc_id, ord, long_value, bin_value`` of every value of a field in the documents from ``lo`` to before
+        ``hi``; of sorted ones the place in the dictionary is the long value."""
         one = next(o for o in self.dv_meta() if o["info"]["field_name"] == name)
-        d, kind, n = self.open(".dvd"), one["type"], self.size
+        hi = self.size if hi is None else min(hi, self.size)
+        if not ranged(one):
+            yield from (r for r in self._dv_values(one, 0, self.size) if lo <= r["doc_id"] < hi)
+        elif lo < hi:
+            yield from (r for r in self._dv_values(one, lo - lo % 8, hi) if r["doc_id"] >= lo)
+
+    def _dv_values(self, one: dict, lo: int, hi: int) -> Iterator[dict]:
+        name = one["info"]["field_name"]
+        d, kind, n = self.open(".dvd"), one["type"], hi - lo
         base = {"field_name": name, "bin_value": None, "long_value": None}
         if kind == BINARY:
             there = self._there(d, one["binary"]["missing_offset"], n)
@@ -418,9 +453,10 @@ class Segment:
             doc = np.repeat(np.arange(n), sizes)
             values = np.concatenate([table[off[k] : off[k + 1]] for k in which.tolist()]) if n else np.zeros(0, np.int64)
         else:
-            values, there = self._numbers(d, one["ord" if "ord" in one else "numeric"], n)
+            values, there = self._numbers(d, one["ord" if "ord" in one else "numeric"], n, lo)
             doc = np.flatnonzero(there if words is None else there & (values >= 0))
             values = values[doc]
+            doc = doc + lo
         first = np.searchsorted(doc, doc)
         for k, (i, v) in enumerate(zip(doc.tolist(), values.tolist())):
             yield base | {"doc_id": i, "ord": k - int(first[k]), "long_value": v, "bin_value": None if words is None else words[v]}
@@ -439,12 +475,14 @@ class Segment:
             found.append((number, c.u(1), c.i64()))
         return found
 
-    def norms(self, number: int) -> np.ndarray:
+    def norms(self, number: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Norms of the documents from ``lo`` to before ``hi``; only their bytes are read."""
+        n = max(0, (self.size if hi is None else min(hi, self.size)) - lo)
         width, at = next((w, o) for f, w, o in self.norm_fields() if f == number)
-        if not width:
-            return np.full(self.size, at)
-        raw = np.frombuffer(self.open(".nvd").part(at, width * self.size), np.uint8).reshape(-1, width).astype(np.int64)
-        return sum((raw[:, k] << (8 * (width - 1 - k)) for k in range(width)), np.zeros(self.size, np.int64))
+        if not width or not n:
+            return np.full(n, at)
+        raw = np.frombuffer(self.open(".nvd").part(at + width * lo, width * n), np.uint8).reshape(-1, width).astype(np.int64)
+        return sum((raw[:, k] << (8 * (width - 1 - k)) for k in range(width)), np.zeros(n, np.int64))
 
     # points
 
@@ -465,32 +503,47 @@ class Segment:
         return t | {"min_packed": c.take(size), "max_packed": c.take(size), "point_count": c.vlong(), "doc_count": c.vint(), "index": c.blob()}
 
     @staticmethod
-    def leaves(t: dict) -> list[int]:
-        """Where the leaves begin, left to right. A node is given by its number; a right child adds to the
-        pointer that it inherits, a left one has it; the bytes of split values are passed over."""
+    def leaves(t: dict) -> list[tuple[int, list[bytes], list[bytes]]]:
+        """Where the leaves begin, left to right, with the least and the greatest value that each may have on every
+        dimension. A node is given by its number; a right child adds to the pointer that it inherits, a left one
+        has it; a split value is written as its difference from the last one of its dimension."""
         c, dims, size, first = Cursor(t["index"]), t["num_dims"], t["bytes_per_dim"], t["num_leaves"]
-        out: list[int] = []
-        todo: list[tuple[int, int, int, bool]] = [(1, 0, 0, False)]  # node, place in the index, pointer, whether left
+        cut = lambda raw: [raw[d * size : (d + 1) * size] for d in range(dims)]
+        out: list[tuple[int, list[bytes], list[bytes]]] = []
+        # node, place in the index, pointer, whether left, last split values, which were met going left, bounds
+        todo: list[tuple] = [(1, 0, 0, False, [bytes(size)] * dims, [False] * dims, cut(t["min_packed"]), cut(t["max_packed"]))]
         while todo:
-            node, at, pointer, left = todo.pop()
+            node, at, pointer, left, last, negative, low, high = todo.pop()
             c.at = at
             if not left:
                 pointer += c.vlong()
             if node >= first:
-                out.append(pointer)
+                out.append((pointer, low, high))
                 continue
-            prefix = c.vint() // dims % (1 + size)
-            c.take(max(0, size - prefix - 1))
+            code = c.vint()
+            d, prefix, differs = code % dims, code // dims % (1 + size), code // dims // (1 + size)
+            value = last[d][:prefix]
+            if prefix < size:
+                byte = last[d][prefix] + (-differs if negative[d] else differs)
+                if not 0 <= byte < 256:
+                    raise Corrupt(f"a split value that isn't one at node {node}")
+                value += bytes([byte]) + c.take(size - prefix - 1)
             skip = c.vint() if node * 2 < first else 0
-            todo += [(node * 2 + 1, c.at + skip, pointer, False), (node * 2, c.at, pointer, True)]
+            put = lambda old, new, d=d: [*old[:d], new, *old[d + 1 :]]
+            now = put(last, value)
+            todo += [(node * 2 + 1, c.at + skip, pointer, False, now, put(negative, False), put(low, value), high), (node * 2, c.at, pointer, True, now, put(negative, True), low, put(high, value))]
         return out
 
-    def points(self, number: int) -> Iterator[tuple[int, list[int], np.ndarray]]:
-        """(leaf, documents, documents x dimensions x bytes) of every leaf."""
+    def points(self, number: int, box: dict[int, tuple[bytes, bytes]] | None = None) -> Iterator[tuple[int, list[int], np.ndarray]]:
+        """(leaf, documents, documents x dimensions x bytes) of every leaf; with ``box`` only of those which may hold
+        a value between the two of any of its dimensions. Leaves that can't aren't read."""
         c = self.open(".dim")
         t = self.tree(number, c)
         dims, size = t["num_dims"], t["bytes_per_dim"]
-        for k, at in enumerate(self.leaves(t)):
+        for k, (at, low, high) in enumerate(self.leaves(t)):
+            if box is not None and not any(a <= high[d] and low[d] <= b for d, (a, b) in box.items()):
+                continue
+            self.read_leaves += 1
             c.at = at
             n, mode = c.vint(), c.u(1)
             if mode == 0:
@@ -558,16 +611,38 @@ class Segment:
             raise Corrupt(f"an automaton over inputs of kind {kind}")
         return found | {"input_bytes": 1 << kind, "start_node": c.vlong(), "num_bytes": c.vlong()}
 
-    def terms(self, number: int) -> Iterator[dict]:
-        """Terms in the order of their bytes, with statistics and pointers."""
+    def terms(self, number: int, within: list[tuple[bytes, bytes | None]] | None = None) -> Iterator[dict]:
+        """Terms in the order of their bytes, with statistics and pointers; with ``within`` only those in one of these
+        closed intervals (None: without end). Blocks of prefixes that none has, and those behind the last, aren't
+        read; ``term_ord`` is then known only up to the first gap, and null behind it."""
         c, t, info = self.open(".tim"), self.term_fields[number], self.fields[number]
         opts = info["index_option_bits"]
         if t["longs_size"] != 1 + (opts >= 3) + (opts >= 3 and (opts >= 4 or info["store_payload"])):
             raise Corrupt(f"field {info['field_name']} has {t['longs_size']} pointers a term")
+        gap = False
 
-        def block(at: int, prefix: bytes) -> Iterator[dict]:
-            last = False
+        def may(low: bytes, end: bytes | None) -> bool:
+            """Whether terms from ``low`` to before ``end`` may be wanted."""
+            return within is None or any((b is None or low <= b) and (end is None or a < end) for a, b in within)
+
+        def after(prefix: bytes) -> bytes | None:
+            """The least bytes behind all that begin with ``prefix``."""
+            kept = prefix.rstrip(b"\xff")
+            return kept[:-1] + bytes([kept[-1] + 1]) if kept else None
+
+        def block(at: int, prefix: bytes, floors: list[tuple[bytes, int]]) -> Iterator[dict]:
+            nonlocal gap
+            spots = [(prefix, at), *floors] if floors else None
+            last, k = False, 0
             while not last:  # a floor block is followed by others of the same prefix
+                if spots:
+                    end = spots[k + 1][0] if k + 1 < len(spots) else after(prefix)
+                    low, at = spots[k]
+                    k += 1
+                    if not may(low, end):
+                        gap, last = True, k == len(spots)
+                        continue
+                self.read_blocks += 1
                 c.at = at
                 code = c.vint()
                 n, last = code >> 1, code & 1
@@ -580,25 +655,39 @@ class Segment:
                 for _ in range(n):
                     code = suffixes.vint()
                     term = prefix + suffixes.take(code if leaf else code >> 1)
+                    if within is not None and all(b is not None and term > b for _, b in within):
+                        return
                     if not leaf and code & 1:
-                        yield from block(at - suffixes.vlong(), term)
+                        sub = at - suffixes.vlong()
+                        if may(term, after(term)):
+                            yield from block(sub, term, [])
+                        else:
+                            gap = True
                         continue
                     df = stats.vint()
                     row = {"term": term, "doc_freq": df, "total_term_freq": df + stats.vlong() if opts != 1 else df}
-                    for k in range(t["longs_size"]):
-                        fp[k] += meta.vlong()
+                    for j in range(t["longs_size"]):
+                        fp[j] += meta.vlong()
                     row |= {"doc_start_fp": fp[0], "pos_start_fp": fp[1], "payload_start_fp": fp[2], "singleton_doc_id": meta.vint() if df == 1 else -1}
                     if opts >= 3 and row["total_term_freq"] > BLOCK:
                         meta.vlong()
                     row["skip_offset"] = meta.vlong() if df > BLOCK else -1
-                    yield row
+                    yield row | {"gap": gap}
                 at = end
 
-        for n, row in enumerate(block(Cursor(t["root_code"]).vlong() >> 2, b"")):
-            yield {"field_name": t["field_name"], "term_ord": n} | row
-
-    def postings(self, number: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray | None]]:
-        """(term, documents, frequencies) of every term; no frequencies where none are indexed."""
+        code = Cursor(t["root_code"])
+        root = code.vlong()
+        floors = []
+        if root & 1:
+            floors = [(code.take(1), (root >> 2) + (code.vlong() >> 1)) for _ in range(code.vint())]
+        wanted = lambda term: within is None or any(a <= term and (b is None or term <= b) for a, b in within)
+        for n, row in enumerate(block(root >> 2, b"", floors)):
+            if wanted(row["term"]):
+                yield {"field_name": t["field_name"], "term_ord": None if row.pop("gap") else n} | row
+
+    def postings(self, number: int, within: list[tuple[bytes, bytes | None]] | None = None) -> Iterator[tuple[bytes, np.ndarray, np.ndarray | None]]:
+        """(term, documents, frequencies) of every term, or of those ``within`` (see ``terms``); no frequencies where
+        none are indexed."""
         c = self.open(".doc")
         header(c)
         c.vint()
@@ -618,7 +707,7 @@ class Segment:
             words = np.frombuffer(c.take(8 * -(-BLOCK // each)), ">u8").astype(np.uint64)
             return ((words[:, None] >> (np.arange(each, dtype=np.uint64) * np.uint64(width))) & np.uint64((1 << width) - 1)).ravel()[:BLOCK].astype(np.int64)
 
-        for t in self.terms(number):
+        for t in self.terms(number, within):
             n = t["doc_freq"]
             if n == 1:
                 yield t["term"], np.array([t["singleton_doc_id"]]), np.array([t["total_term_freq"]]) if freqs else None

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from math import gcd
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.codec import lz4_encode, pack, put_text, put_tlong, put_varied, put_zdouble, put_zfloat, zigzag
@@ -22,14 +22,15 @@ WIDTHS = (1, 2, 4, 8, 12, 16, 20, 24, 28, 32, 40, 48, 56, 64)  #: of columnar nu
 TERMS = 48  #: entries of a block of terms
 GROUP = 25  #: terms of one prefix that get a block of their own
 LEAF = 1_024  #: points of a leaf
+WHOLE = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 16, 21, 32)  #: widths that may be packed into words
 SHIFT = 16  #: log2 of the values in a block of rising numbers
 _ID = bytes(range(16))
 
 
 @dataclass(frozen=True)
 class Field:
-    """How a column is indexed. ``options``: 0 not, 1 documents, 2 and frequencies, 3 and positions (of which
-    only the pointers are written). ``dv``: numeric, binary, sorted, sorted_set or sorted_numeric. ``points``:
+    """How a column is indexed. ``options``: 0 not, 1 documents, 2 and frequencies, 3 and positions, 4 and offsets (of
+    which only the pointers are written). ``dv``: numeric, binary, sorted, sorted_set or sorted_numeric. ``points``:
     bytes of a dimension, 0 for none. ``stored``: string, binary, int, float, long or double."""
 
     name: str
@@ -60,7 +61,7 @@ def head(codec: str, version: int = 0, named: bool = True) -> bytes:
 
 def closed(body: bytes) -> bytes:
     """``body`` with its footer."""
-    body += _i(END_MAGIC, 4) + _i(0, 4)
+    body = bytes(body) + _i(END_MAGIC, 4) + _i(0, 4)
     return body + _i(zlib.crc32(body))
 
 
@@ -100,7 +101,7 @@ def stored(fields: list[Field], docs: list[dict], chunk: int = CHUNK) -> tuple[b
     """The index of chunks and the chunks. A value may be a list, which gives several."""
     put = {"string": put_text, "binary": put_text, "int": lambda v: put_varied(zigzag(v)), "float": put_zfloat, "long": put_tlong, "double": put_zdouble}
     tags = list(put)
-    data, starts, bases = head("stored") + put_varied(chunk) + put_varied(2), [], []
+    data, starts, bases = bytearray(head("stored") + put_varied(chunk) + put_varied(2)), [], []
     kept: list[tuple[int, bytes]] = []
     size = dirty = 0
     for i, doc in enumerate(docs):
@@ -123,14 +124,14 @@ def stored(fields: list[Field], docs: list[dict], chunk: int = CHUNK) -> tuple[b
         b, p = bases[lo : lo + 1024], starts[lo : lo + 1024]
         index += put_varied(len(b)) + put_varied(b[0]) + _line(b) + put_varied(p[0]) + _line(p)
     end = put_varied(len(data))
-    return closed(index + b"\0" + end), closed(data + put_varied(len(starts)) + put_varied(dirty))
+    return closed(index + b"\0" + end), closed(bytes(data) + put_varied(len(starts)) + put_varied(dirty))
 
 
 class _Columns:
     """Meta data and data of columnar values, side by side."""
 
     def __init__(self):
-        self.meta, self.data = head("dv-meta"), head("dv-data")
+        self.meta, self.data = head("dv-meta"), bytearray(head("dv-data"))
 
     def there(self, mask: list[bool]) -> int:
         if all(mask):
@@ -252,7 +253,7 @@ def columns(fields: list[Field], docs: list[dict], sets: int | None = None) -> t
         else:
             missing = -1 if kind != SORTED_NUMERIC else None
             c.numbers(f.number, [x[0] if x else missing for x in lists], DELTA)
-    return closed(c.meta + put_varied(0xFFFFFFFF)), closed(c.data)
+    return closed(c.meta + put_varied(0xFFFFFFFF)), closed(bytes(c.data))
 
 
 def norms(fields: list[Field], lengths: dict[int, list[int]]) -> tuple[bytes, bytes]:
@@ -270,9 +271,11 @@ def norms(fields: list[Field], lengths: dict[int, list[int]]) -> tuple[bytes, by
 class _Terms:
     """Blocks of the terms of all fields, their postings and the directories."""
 
-    def __init__(self):
-        self.tim, self.tip, self.doc = head("terms"), head("prefixes"), head("docs")
-        self.doc += put_varied(2) + b"".join(put_varied(b - 1) for b in range(1, 33))
+    def __init__(self, words: bool = False):
+        """With ``words`` the widths of WHOLE are packed into words of 8 bytes of which no value crosses the border."""
+        self.tim, self.tip, self.doc = bytearray(head("terms")), head("prefixes"), bytearray(head("docs"))
+        self.words = frozenset(WHOLE if words else ())
+        self.doc += put_varied(2) + b"".join(put_varied((1 << 5 if b in self.words else 0) | b - 1) for b in range(1, 33))
         self.fields: list[bytes] = []
         self.pointers: list[int] = []
 
@@ -285,14 +288,15 @@ class _Terms:
             if len(d) == BLOCK:
                 for v in (d, q) if q else (d,):
                     bits = max(v).bit_length() if len(set(v)) > 1 else 0
-                    self.doc += bytes([bits]) + (pack(v, bits, whole_words=False) if bits else put_varied(v[0]))
+                    self.doc += bytes([bits]) + (put_varied(v[0]) if not bits else _in_words(v, bits) if bits in self.words else pack(v, bits, whole_words=False))
             else:
                 for k, x in enumerate(d):
                     self.doc += put_varied(x) if q is None else put_varied(x << 1 | (q[k] == 1)) + (b"" if q[k] == 1 else put_varied(q[k]))
         return at
 
-    def _blocks(self, f: Field, terms: list[tuple[bytes, list[int], list[int]]], depth: int) -> tuple[int, bool]:
-        """Write the blocks of ``terms``, which share ``depth`` bytes; where they begin and whether several."""
+    def _blocks(self, f: Field, terms: list[tuple[bytes, list[int], list[int]]], depth: int) -> tuple[int, bytes]:
+        """Write the blocks of ``terms``, which share ``depth`` bytes; where they begin and, if there are several, the
+        first bytes and places of those after the first."""
         prefix = depth
         entries: list[tuple[bytes, tuple | None, int]] = []
         if len(terms) <= TERMS:
@@ -306,11 +310,15 @@ class _Terms:
                     entries.append((first, None, self._blocks(f, own, prefix + 1)[0]))
                 else:
                     entries += [(t[0][prefix:], t, -1) for t in own]
-        cuts = range(0, len(entries), TERMS)
-        start = 0
-        for lo in cuts:
-            some, at = entries[lo : lo + TERMS], len(self.tim)
-            start = start or at
+        cuts = [0]
+        for k in range(1, len(entries)):  # floor blocks begin with a byte that the one before doesn't have
+            if k - cuts[-1] >= TERMS and entries[k][0][:1] != entries[k - 1][0][:1]:
+                cuts.append(k)
+        cuts.append(len(entries))
+        begin: list[int] = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            some, at = entries[lo:hi], len(self.tim)
+            begin.append(at)
             leaf = all(t is not None for _, t, _ in some)
             suffix = stats = meta = b""
             fp = 0
@@ -323,22 +331,23 @@ class _Terms:
                 total = sum(freqs)
                 stats += put_varied(len(docs)) + (put_varied(total - len(docs)) if f.options != 1 else b"")
                 pointer = self._posting(docs, freqs if f.options > 1 else None) if len(docs) > 1 else max(fp, len(self.doc))
-                meta += put_varied(pointer - fp) + (b"\0" if f.options >= 3 else b"") + (put_varied(docs[0]) if len(docs) == 1 else b"")
+                meta += put_varied(pointer - fp) + b"\0" * ((f.options >= 3) + (f.options >= 4)) + (put_varied(docs[0]) if len(docs) == 1 else b"")
                 fp = pointer
                 meta += put_varied(0) if f.options >= 3 and total > BLOCK else b""
                 meta += put_varied(0) if len(docs) > BLOCK else b""
-            last = lo + TERMS >= len(entries)
+            last = hi == len(entries)
             self.tim += put_varied(len(some) << 1 | last) + put_varied(len(suffix) << 1 | leaf) + suffix + put_text(stats) + put_text(meta)
-        return start, len(cuts) > 1
+        floor = put_varied(len(begin) - 1) + b"".join(entries[k][0][:1] + put_varied(b - begin[0] << 1 | 1) for k, b in zip(cuts[1:], begin[1:])) if len(begin) > 1 else b""
+        return begin[0], floor
 
     def add(self, f: Field, postings: dict[bytes, tuple[list[int], list[int]]]) -> None:
         terms = [(t, *postings[t]) for t in sorted(postings)]
         at, floor = self._blocks(f, terms, 0)
-        root = put_varied(at << 2 | 2 | floor) + (b"\1\0" if floor else b"")
+        root = put_varied(at << 2 | 2 | bool(floor)) + floor
         total = sum(sum(q) for _, _, q in terms)
         self.fields.append(
             put_varied(f.number) + put_varied(len(terms)) + put_text(root) + (put_varied(total) if f.options != 1 else b"") + put_varied(sum(len(d) for _, d, _ in terms))
-            + put_varied(len({d for _, own, _ in terms for d in own})) + put_varied(1 + (f.options >= 3)) + put_text(terms[0][0]) + put_text(terms[-1][0])
+            + put_varied(len({d for _, own, _ in terms for d in own})) + put_varied(1 + (f.options >= 3) + (f.options >= 4)) + put_text(terms[0][0]) + put_text(terms[-1][0])
         )
         self.pointers.append(len(self.tip))
         self.tip += head("automaton", 6, named=False) + b"\0\1" + put_text(root[::-1]) + b"\0" + put_varied(0) + put_varied(1) + b"\0"
@@ -346,7 +355,13 @@ class _Terms:
     def files(self) -> tuple[bytes, bytes, bytes]:
         tim = self.tim + put_varied(len(self.fields)) + b"".join(self.fields) + _i(len(self.tim))
         tip = self.tip + b"".join(map(put_varied, self.pointers)) + _i(len(self.tip))
-        return closed(tim), closed(tip), closed(self.doc)
+        return closed(tim), closed(tip), closed(bytes(self.doc))
+
+
+def _in_words(values: list[int], bits: int) -> bytes:
+    each = 64 // bits
+    rows = [values[i : i + each] for i in range(0, len(values), each)]
+    return b"".join(_i(sum(v << bits * k for k, v in enumerate(r))) for r in rows)
 
 
 def _sortable(v: int, n: int) -> bytes:
@@ -358,7 +373,7 @@ def tree(points: list[tuple[int, tuple[bytes, ...]]], dims: int, size: int, at:
     count = 1
     while -(-len(points) // count) > leaf:
         count *= 2
-    out, starts, splits = b"", [], {}
+    out, starts, splits = bytearray(), [], {}
 
     def write(own: list) -> None:
         nonlocal out
@@ -423,14 +438,14 @@ def tree(points: list[tuple[int, tuple[bytes, ...]]], dims: int, size: int, at:
     lows = b"".join(min(p[d] for _, p in points) for d in range(dims))
     highs = b"".join(max(p[d] for _, p in points) for d in range(dims))
     out += head("tree", 4, named=False) + b"".join(map(put_varied, (dims, leaf, size, count))) + lows + highs + put_varied(len(points)) + put_varied(len({d for d, _ in points})) + put_text(packed_index)
-    return out, begin
+    return bytes(out), begin
 
 
 def tokens(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
-def segment(name: str, fields: list[Field], docs: list[dict], compound: bool = False, sets: int | None = None, leaf: int = LEAF, chunk: int = CHUNK) -> dict[str, bytes]:
+def segment(name: str, fields: list[Field], docs: list[dict], compound: bool = False, sets: int | None = None, leaf: int = LEAF, chunk: int = CHUNK, words: bool = False) -> dict[str, bytes]:
     """Files of one segment. Text of indexed fields is cut into runs of ASCII letters and digits, in lower case."""
     fields = [replace(f, number=k) for k, f in enumerate(fields)]
     files = {".fnm": field_infos(fields)}
@@ -439,15 +454,15 @@ def segment(name: str, fields: list[Field], docs: list[dict], compound: bool = F
     if any(f.dv for f in fields):
         files["_0.dvm"], files["_0.dvd"] = columns(fields, docs, sets)
     lengths: dict[int, list[int]] = {}
-    terms = _Terms()
+    terms = _Terms(words)
     for f in fields:
         if f.options:
             post: dict[bytes, tuple[list[int], list[int]]] = {}
             lengths[f.number] = []
             for i, d in enumerate(docs):
-                words = tokens(d[f.name]) if d.get(f.name) else []
-                lengths[f.number].append(len(words))
-                for w in words:
+                found = tokens(d[f.name]) if d.get(f.name) else []
+                lengths[f.number].append(len(found))
+                for w in found:
                     own = post.setdefault(w.encode(), ([], []))
                     if own[0] and own[0][-1] == i:
                         own[1][-1] += 1
@@ -458,6 +473,10 @@ def segment(name: str, fields: list[Field], docs: list[dict], compound: bool = F
                 terms.add(f, post)
     if any(f.options for f in fields):
         files["_0.tim"], files["_0.tip"], files["_0.doc"] = terms.files()
+        if any(f.options >= 3 for f in fields):
+            files["_0.pos"] = closed(head("positions"))
+        if any(f.options >= 4 for f in fields):
+            files["_0.pay"] = closed(head("payloads"))
     if any(f.options and f.norms for f in fields):
         files[".nvm"], files[".nvd"] = norms(fields, lengths)
     pointed = {}
@@ -492,30 +511,30 @@ def commit(names: list[str], counter: int = 0, user_data: dict[str, str] | None
 def write_segments(df: DataFrame, path: str, fields: list[Field], compound: bool = False) -> list[str]:
     """Write every partition of ``df`` as a segment, under a name of its own, so that a task that runs again
     leaves files that no commit names; gives the names. Rows are numbered in the order in which their
-    partition has them. An empty partition gives no segment."""
+    partition has them. An empty partition gives no segment. A null is no value, in any column; a number that
+    isn't finite is stored as it is."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs = [d for pdf in batches for d in pdf.to_dict("records")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = [d for b in batches for d in b.to_pylist()]  # null is None in every type, and no number changes
         if not docs:
             return
-        docs = [{k: v.tolist() if isinstance(v, np.ndarray) else None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else v for k, v in d.items()} for d in docs]
         system, root = open_path(path)
         system.create_dir(root, recursive=True)
         name = "_" + uuid.uuid4().hex
         for n, raw in segment(name, fields, docs, compound).items():
             with system.open_output_stream(f"{root}/{n}") as out:
                 out.write(raw)
-        yield pd.DataFrame({"name": [name], "docs": [len(docs)]})
+        yield pa.record_batch([pa.array([name]), pa.array([len(docs)])], names=["name", "docs"])
 
-    return sorted(r.name for r in df.select(*[f.name for f in fields]).mapInPandas(run, "name string, docs long").collect())  # a row for each partition
+    return sorted(r.name for r in df.select(*[f.name for f in fields]).mapInArrow(run, "name string, docs long").collect())  # a row for each partition
 
 
-def write_commit(path: str, names: list[str], generation: str) -> None:
+def write_commit(path: str, names: list[str], generation: str, user_data: dict[str, str] | None = None) -> None:
     """Name the segments of the index; a reader sees them from then on. The file gets its name when it is whole."""
     system, root = open_path(path)
     system.create_dir(root, recursive=True)
     with system.open_output_stream(f"{root}/pending_{generation}") as out:
-        out.write(commit(names))
+        out.write(commit(names, user_data=user_data))
     system.move(f"{root}/pending_{generation}", f"{root}/segments_{generation}")
 
 

@@ -191,7 +191,7 @@ def test_columns_and_filters(spark, index):
     want = len({w for d in documents(300) for w in W.tokens(d["text"])})
     assert p.where("segment = '_1' AND field_name = 'text'").select("term").distinct().count() == want
     reader = segidx.SegmentReader(p.schema, {"path": index, "table": "postings"})
-    assert len(reader.partitions()) == 4
+    assert len(reader.partitions()) == 4  # segments and fields
     assert list(reader.pushFilters([segidx.EqualTo(("segment",), "_1"), segidx.In(("field_name",), ("text", "no")), segidx.EqualTo(("doc_id",), 3)])) == [segidx.EqualTo(("doc_id",), 3)]
     assert [(q.segment, q.number) for q in reader.partitions()] == [("_1", 1)]
 
@@ -219,3 +219,146 @@ def test_no_segments_and_the_newest_commit(spark, tmp_path):
     path = put(tmp_path, documents(3))
     assert segidx.read(spark, path, "segment_info").first().segment_size == 3
     assert segidx.read(spark, path, "segment_info", generation="9").count() == 0
+
+
+def test_terms_are_sought(tmp_path):
+    docs = documents(2_000)
+    g = opened(put(tmp_path, docs))
+    every = list(g.terms(1))
+    blocks = g.read_blocks
+    assert len(every) > 1_500 and blocks > 20
+    for t in (every[0], every[len(every) // 2], every[-1]):
+        g.read_blocks = 0
+        (got,) = g.terms(1, [(t["term"], t["term"])])
+        assert {k: v for k, v in got.items() if k != "term_ord"} == {k: v for k, v in t.items() if k != "term_ord"} and got["term_ord"] in (None, t["term_ord"])
+        assert g.read_blocks <= blocks / 4, (g.read_blocks, blocks)
+        assert [p[0] for p in g.postings(1, [(t["term"], t["term"])])] == [t["term"]]
+    for within in ([(b"ab", b"ac")], [(b"c", None)], [(b"aa", b"ab"), (b"dd", b"de")], [(b"zz", b"zz")], [(b"", b"a")], []):
+        want = [t["term"] for t in every if any(a <= t["term"] and (b is None or t["term"] <= b) for a, b in within)]
+        assert [t["term"] for t in g.terms(1, within)] == want
+    assert not list(g.terms(1, [(b"nothere", b"nothere")]))
+
+
+def test_leaves_of_points_are_sought(tmp_path):
+    docs = documents(2_000)
+    g = opened(put(tmp_path, docs, leaf=32))
+    for number, f, size in ((10, "pt", 8), (11, "pt2", 4)):
+        t = g.tree(number, g.open(".dim"))
+        assert len(g.leaves(t)) == t["num_leaves"] > 30
+        for leaf, low, high in g.leaves(t):
+            assert all(a <= b for a, b in zip(low, high))
+        g.read_leaves = 0
+        raw = lambda v: W._sortable(v, size)
+        box = {0: (raw(10), raw(12) if f == "pt2" else raw(50_000))}
+        found = {d for _, ids, x in g.points(number, box) for k, d in enumerate(ids) if box[0][0] <= x[k, 0].tobytes() <= box[0][1]}
+        want = {i for i, d in enumerate(docs) for v in [d[f][0] if f == "pt2" else d[f]] if 10 <= v <= (12 if f == "pt2" else 50_000)}
+        assert found == want and g.read_leaves < t["num_leaves"] / 3
+
+
+def test_filters_reach_blocks_leaves_and_chunks(spark, tmp_path):
+    docs = documents(1_500)
+    path = put(tmp_path, docs, leaf=64, chunk=2_000)
+    reader = lambda table, *filters: (lambda r: (list(r.pushFilters(list(filters))), r)[1])(segidx.SegmentReader(segidx.read(spark, path, table).schema, {"path": path, "table": table}))
+    assert reader("postings", segidx.In(("term",), (b"a", b"b"))).terms() == [(b"a", b"a"), (b"b", b"b")]
+    assert reader("terms", segidx.GreaterThan(("term",), b"a"), segidx.LessThanOrEqual(("term",), b"c")).terms() == [(b"a", b"c")]
+    assert reader("points", segidx.EqualTo(("value",), 4)).between("value") == (4, 4)
+    chunks = lambda *f: sum(len(p.starts) for p in reader("stored", *f).partitions())
+    assert 0 < chunks(segidx.GreaterThanOrEqual(("doc_id",), 1_400)) < chunks() / 5
+    assert chunks(segidx.EqualTo(("doc_id",), 700)) == 1
+    (part,) = [p for p in reader("norms", segidx.GreaterThanOrEqual(("doc_id",), 101), segidx.LessThan(("doc_id",), 150)).partitions()]
+    assert (part.low, part.high) == (96, 151)
+    want = {w: i for i, d in enumerate(docs) for w in W.tokens(d["text"])}
+    term = sorted(want)[40]
+    got = segidx.read(spark, path, "postings").where((segidx.F.col("field_name") == "text") & (segidx.F.col("term") == segidx.F.lit(bytearray(term.encode()))))
+    assert "PushedFilters" in got._jdf.queryExecution().toString() or got.count()
+    assert sorted(r.doc_id for r in got.collect()) == [i for i, d in enumerate(docs) if term in W.tokens(d["text"])]
+    t = segidx.read(spark, path, "terms").where(segidx.F.col("term") == segidx.F.lit(bytearray(term.encode()))).where("field_name = 'text'").first()
+    assert t.term_ord == sorted(want).index(term)  # a filter doesn't change what a row holds
+    p = segidx.read(spark, path, "points").where("field_name = 'pt2' AND dim = 1 AND value BETWEEN -3 AND 3")
+    assert sorted((r.doc_id, r.value) for r in p.collect()) == [(i, d["pt2"][1]) for i, d in enumerate(docs) if -3 <= d["pt2"][1] <= 3]
+    assert segidx.read(spark, path, "points").where("field_name = 'pt' AND value > 9000000000000000000").count() == 0
+    assert {r.doc_id: r.norm for r in segidx.read(spark, path, "norms").where("doc_id BETWEEN 100 AND 107").collect()} == {i: len(W.tokens(docs[i]["text"])) for i in range(100, 108)}
+    got = segidx.boolean(spark, path, "text", every=["the"], none=[term])
+    assert sorted(r.doc_id for r in got.collect()) == [i for i, d in enumerate(docs) if "the" in W.tokens(d["text"]) and term not in W.tokens(d["text"])]
+
+
+def test_values_and_norms_of_ranges(tmp_path, monkeypatch, spark):
+    docs = documents(500)
+    path = put(tmp_path, docs)
+    g = opened(path)
+    for lo, hi in ((0, 8), (8, 500), (13, 77), (490, 9_000), (77, 77)):
+        for f in ("id", "price", "few", "nums", "kind"):
+            assert list(g.dv_values(f, lo, hi)) == [r for r in g.dv_values(f) if lo <= r["doc_id"] < hi]
+        assert g.norms(1, lo, hi).tolist() == g.norms(1).tolist()[lo:hi]
+    want = {(r.field_name, r.doc_id, r.ord): r.long_value for r in segidx.read(spark, path, "dv_values").collect()}
+    monkeypatch.setattr(segidx, "DOCS", 64)
+    rows = segidx.read(spark, path, "dv_values")
+    assert {(r.field_name, r.doc_id, r.ord): r.long_value for r in rows.collect()} == want
+
+
+@pytest.mark.parametrize("words", [False, True])
+@pytest.mark.parametrize("options", [2, 3, 4])
+def test_widths_in_words_and_files_of_positions(tmp_path, words, options):
+    docs = [{"t": "a " * (1 + i % 70) + f"w{i % 2}"} for i in range(700)]
+    g = opened(put(tmp_path, docs, [Field("t", options=options)], words=words))
+    assert {n.split("_0")[-1]: S.header(c)["codec"] for n, c in g.all_files() if n.endswith((".pos", ".pay"))} == {k: v for k, v, o in ((".pos", "positions", 3), (".pay", "payloads", 4)) if options >= o}
+    got = {t: (a.tolist(), f.tolist()) for t, a, f in g.postings(0)}
+    assert got[b"a"] == (list(range(700)), [1 + i % 70 for i in range(700)])
+    assert got[b"w1"][0] == list(range(1, 700, 2))
+    assert g.term_fields[0]["longs_size"] == max(1, options - 1)
+
+
+def test_tail_of_stored_documents_and_versions(spark, tmp_path):
+    path = put(tmp_path, documents(300), chunk=2_000)
+    info = segidx.read(spark, path, "stored_info").first()
+    assert info.tail_ok and info.num_chunks == segidx.read(spark, path, "stored_chunks").count() and info.num_dirty_chunks <= 1
+    assert segidx.read(spark, path, "commit").first().index_version == "6.6.0" == segidx.read(spark, path, "segment_info").first().version
+    dumped = {r.relation for r in segidx.dump(spark, path).collect()}
+    assert {"commit", "segments", "fields", "term_index", "stored_info"} <= dumped
+
+
+def test_nulls_and_numbers_that_are_not_finite_through_spark(spark, tmp_path):
+    rows = [(0, 2**53 + 1, 1.5, float("inf"), "a b", b"x", [3, 1]), (1, None, None, float("-inf"), None, None, None), (2, -5, float("nan"), None, "", b"", []), (3, 7, 1e300, 0.5, "b", b"y", [2])]
+    df = spark.createDataFrame(rows, "id long, n long, d double, f float, t string, b binary, many array<long>")
+    fields = [Field("id", stored="long", dv="numeric"), Field("n", stored="long", dv="numeric", points=8), Field("d", stored="double"), Field("f", stored="float"), Field("t", options=2, norms=True, stored="string"), Field("b", stored="binary", dv="sorted"), Field("many", dv="sorted_numeric")]
+    W.write_index(df.coalesce(1), str(tmp_path / "i"), fields)
+    got = defaultdict(dict)
+    for r in segidx.read(spark, str(tmp_path / "i"), "stored").collect():
+        got[r.doc_id][r.field_name] = next(v for v in (r.str, r.bin, r.long, r.float, r.double) if v is not None)
+    kept = {r[0]: {k: v for k, v in zip(("id", "n", "d", "f", "t", "b"), r) if v is not None} for r in rows}
+    assert repr({k: sorted(v.items()) for k, v in sorted(got.items())}) == repr({k: sorted((n, bytes(x) if isinstance(x, bytes) else x) for n, x in v.items()) for k, v in kept.items()})
+    v = segidx.read(spark, str(tmp_path / "i"), "dv_values").collect()
+    assert {r.doc_id: r.long_value for r in v if r.field_name == "n"} == {0: 2**53 + 1, 2: -5, 3: 7}
+    assert sorted((r.doc_id, r.long_value) for r in v if r.field_name == "many") == [(0, 1), (0, 3), (3, 2)]
+    assert {r.doc_id: r.value for r in segidx.read(spark, str(tmp_path / "i"), "points").collect()} == {0: 2**53 + 1, 2: -5, 3: 7}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(), st.integers(-3, 130).map(float))), st.lists(st.one_of(st.none(), st.integers(-(2**62), 2**62), st.integers(-400, 400).map(lambda d: d * 3_600_000))))
+def test_whole_columns_are_the_scalars_with_nulls(xs, ts):
+    import pyarrow as pa
+
+    same = lambda a, b: repr(a) == repr(b)  # noqa: E731 - NaN and -0.0 too
+    a = codec.to_zdouble.arrays(pa.array(xs, pa.float64()))
+    assert a.to_pylist() == [None if x is None else codec.put_zdouble(x) for x in xs] and same(codec.from_zdouble.arrays(a).to_pylist(), xs)
+    with np.errstate(over="ignore"):
+        fs = [None if x is None else float(np.float32(x)) for x in xs]
+    a = codec.to_zfloat.arrays(pa.array(fs, pa.float32()))
+    assert a.to_pylist() == [None if x is None else codec.put_zfloat(x) for x in fs] and same(codec.from_zfloat.arrays(a).to_pylist(), fs)
+    a = codec.to_tlong.arrays(pa.array(ts, pa.int64()))
+    assert a.to_pylist() == [None if t is None else codec.put_tlong(t) for t in ts] and codec.from_tlong.arrays(a).to_pylist() == ts
+    vs = [None if t is None else abs(t) for t in ts]
+    a = codec.to_varied.arrays(pa.array(vs, pa.int64()))
+    assert a.to_pylist() == [None if v is None else codec.put_varied(v) for v in vs] and codec.from_varied.arrays(a).to_pylist() == vs
+
+
+def test_what_has_no_form_is_an_error():
+    import pyarrow as pa
+
+    for f, a in ((codec.to_varied, pa.array([1, -1])), (codec.from_varied, pa.array([b"\x80"])), (codec.from_varied, pa.array([b""])), (codec.from_zdouble, pa.array([b"\xff12"])), (codec.from_tlong, pa.array([b"\x20"])), (codec.to_packed(3), pa.array([[8]])), (codec.to_packed(3), pa.array([[None]], pa.list_(pa.int64())))):
+        with pytest.raises(ValueError):
+            f.arrays(a)
+    assert codec.to_packed(3).arrays(pa.array([[7, 0], None, []])).to_pylist() == [codec.pack([7, 0], 3), None, b""]
+    assert codec.to_lz4.arrays(pa.array(["é", None, ""])).to_pylist()[1] is None
+    with pytest.raises(ValueError):
+        codec.put_varied(-1)
