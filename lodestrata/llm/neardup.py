@@ -1,9 +1,10 @@
-"""Near copies of documents: MinHash sketches joined along chosen paths."""
+"""Near copies of documents: MinHash sketches joined along chosen paths, then by signatures that lose no pair."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ PIVOTS = 8  #: sketches of a big node that each of its rows is compared with
 NEAR = 0.9  #: a row of a big node that agrees so much with a pivot is linked to it and branches no further
 DEPTH = 12  #: nodes of this depth don't branch
 TILE = 1_024  #: sketches of a group that are compared with as many others at once, on average, to count links
+SHARED = 4  #: coordinates of a signature
+BUCKET = 1 << 20  #: signatures that one task sorts at once, on average
+MANY = 256  #: a signature with more pairs of different groups than this gives no pairs of ids: its sketches are compared by tiles
+PART = 4_096  #: sketches of such a signature that are compared with as many others at once
 
 
 def _params() -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +236,8 @@ def _pass(level: int, threshold: float):
 
 
 def chosen_path_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
-    """Edges ``(a, b)`` between the keys of ``nodes (key, sketch)`` found to agree in ``threshold`` of the values.
+    """Edges ``(a, b)`` between the keys of ``nodes (key, sketch)`` found to agree in ``threshold`` of the values; not
+    between all that do: see ``near_roots``.
 
     Every tree starts with all sketches in one node, and a node branches by the minwise values at the
     coordinates which its path picks, 1 + BRANCH on average. From depth FIRST on, nodes of one sketch are
@@ -269,6 +275,224 @@ def chosen_path_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int
     return edges
 
 
+def signatures(least: int) -> np.ndarray:
+    """Sets of SHARED coordinates, one a row: two sketches that agree in ``least`` values agree in all of some set.
+
+    The coordinates are cut into parts of which all subsets are taken. A pair that has no subset of a part in common
+    differs in all of its n coordinates but SHARED - 1; the parts are so few, and as many are taken, that this
+    adds up to more than SIZE - ``least``.
+    """
+    if least < SHARED:
+        raise ValueError(f"a threshold of {least} of {SIZE} values is too low for signatures of {SHARED}")
+    sets, differ = [], 0
+    for part in np.array_split(np.arange(SIZE), min((least - 1) // (SHARED - 1), SIZE // SHARED)):
+        if differ > SIZE - least:
+            break
+        sets += combinations(part, SHARED)
+        differ += len(part) - SHARED + 1
+    return np.array(sets)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of 64-bit integers, all lowest ones first: most of the high ones are 0 and compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _sign(sets: np.ndarray, buckets: int):
+    """``(node, blob)``: the signatures of the rows, parted into ``buckets`` by their hashes; a blob holds 32 more bits of
+    each hash, then the rows' numbers and in what those of their groups differ from them, byte by byte."""
+    salt = mix(np.arange(1, len(sets) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    kind = np.uint16 if buckets <= 1 << 16 else np.uint32  # 16 bits are sorted by their digits
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(at, 8192) for at in range(0, whole.num_rows, 8192)):
+                s, ids = _rows(b.column("sketch")), np.array(b.column("id"))
+                other = ids ^ np.array(b.column("grp"))
+                h = np.empty((len(sets), len(s)), np.uint64)
+                for k, cols in enumerate(sets):
+                    h[k] = mix(np.ascontiguousarray(s[:, cols]).view(np.uint32).ravel().astype(np.uint64) ^ salt[k])
+                h = h.ravel()
+                low = (h & np.uint64(buckets - 1)).astype(kind)
+                order = np.argsort(low, kind="stable")
+                low, h = low[order], (h[order] >> np.uint64(32)).astype(np.uint32)
+                row = order % len(s)
+                starts, sizes = _runs(low)
+                blobs, names, held = [], [], 0
+                for at, m in zip(starts, sizes):
+                    r = row[at : at + m]
+                    blobs.append(h[at : at + m].tobytes() + _planes(ids[r]) + _planes(other[r]))
+                    names.append(int(low[at]))
+                    held += len(blobs[-1])
+                    if held > 4 << 20 or at + m == len(low):
+                        yield pa.record_batch([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "blob"])
+                        blobs, names, held = [], [], 0
+
+    return run
+
+
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, numbers and groups in order of the hashes."""
+    h, ids, grp = [], [], []
+    for blob in blobs:
+        m = len(blob) // 20
+        h.append(np.frombuffer(blob, np.uint32, m))
+        two = np.frombuffer(blob, np.uint8, 16 * m, 4 * m).reshape(2, 8, m)
+        n, x = (np.ascontiguousarray(two[k].T).view(np.int64).ravel() for k in range(2))
+        ids.append(n)
+        grp.append(n ^ x)
+    h = np.concatenate(h)
+    order = np.argsort(h)
+    return h[order], np.concatenate(ids)[order], np.concatenate(grp)[order]
+
+
+@lean
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of numbers ``(a, b)`` of different groups that have a signature in common, of blobs that come sorted
+    by bucket. Where these are more than MANY, each row ``a`` and its group ``b`` under the signature's name ``g``."""
+    for node, b in _whole(batches):
+        for lo, k in zip(*_runs(node)):
+            h, ids, grp = _unpack(b.column("blob").slice(lo, k).to_pylist())
+            starts, sizes = _runs(h)
+            mixed = np.minimum.reduceat(grp, starts) != np.maximum.reduceat(grp, starts)
+            starts, sizes = starts[mixed], sizes[mixed]
+            p, q, hot, names = [], [], [], []
+            for m in np.unique(sizes[sizes <= 8]):
+                i, j = np.triu_indices(m, 1)
+                at = starts[sizes == m][:, None]
+                p.append((at + i).ravel())
+                q.append((at + j).ravel())
+            for at, m in zip(starts[sizes > 8], sizes[sizes > 8]):
+                own = np.unique(grp[at : at + m], return_counts=True)[1]
+                if (m * m - (own * own).sum()) // 2 > MANY:
+                    hot.append(np.arange(at, at + m))
+                    names.append(np.full(m, (int(h[at]) << 31) ^ int(node[lo]), np.int64))
+                else:
+                    i, j = np.triu_indices(m, 1)
+                    p.append(at + i)
+                    q.append(at + j)
+            if p:
+                p, q = np.concatenate(p), np.concatenate(q)
+                apart = grp[p] != grp[q]
+                p, q = ids[p[apart]], ids[q[apart]]
+                pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "g"])
+            if hot:
+                at = np.concatenate(hot)
+                yield pa.record_batch([pa.array(ids[at]), pa.array(grp[at]), pa.array(np.concatenate(names))], names=["a", "b", "g"])
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many values each row of ``x`` agrees with each of ``y``."""
+    out = np.zeros((len(x), len(y)), np.uint16)
+    same = np.empty(out.shape, bool)
+    for lo in range(0, SIZE, 128):
+        part = np.zeros(out.shape, np.uint8)
+        for u, v in zip(x[:, lo : lo + 128].T.copy(), y[:, lo : lo + 128].T.copy()):
+            np.equal(u[:, None], v[None], out=same)
+            np.add(part, same.view(np.uint8), out=part)
+        out += part
+    return out
+
+
+def _distinct(p: list[np.ndarray], q: list[np.ndarray]) -> pa.RecordBatch:
+    p, q = np.concatenate([np.zeros(0, np.int64), *p]), np.concatenate([np.zeros(0, np.int64), *q])
+    pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
+    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _verify(least: int):
+    """Groups ``(a, b)`` of the pairs of rows that agree in ``least`` values."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = (_rows(b.column("sketch_a")) == _rows(b.column("sketch_b"))).sum(axis=1) >= least
+                yield _distinct([np.array(b.column("grp_a"))[near]], [np.array(b.column("grp_b"))[near]])
+
+    return run
+
+
+def _verify_tiles(least: int):
+    """Different groups ``(a, b)`` of rows that agree in ``least`` values, of rows that come sorted by tile; in a tile of
+    two parts, only rows of both."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, b in _whole(batches):
+            s, grp, second = _rows(b.column("sketch")), np.array(b.column("grp")), np.array(b.column("second"))
+            for at, m in zip(*_runs(node)):
+                i, j = at + np.flatnonzero(~second[at : at + m]), at + np.flatnonzero(second[at : at + m])
+                j = j if len(j) else i
+                p, q = [], []
+                for lo in range(0, len(i), 128):
+                    own = i[lo : lo + 128]
+                    for to in range(0, len(j), 1024):
+                        others = j[to : to + 1024]
+                        apart = grp[own][:, None] != grp[others][None]
+                        if apart.any():
+                            u, v = np.nonzero(apart & (_agree(s[own], s[others]) >= least))
+                            p.append(grp[own[u]])
+                            q.append(grp[others[v]])
+                yield _distinct(p, q)
+
+    return run
+
+
+def missed_links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(a, b)``: all pairs of groups of ``rows (id, grp, sketch)`` that hold two sketches which agree in ``threshold`` of
+    the values. Exact: such sketches have a signature in common (see ``signatures``).
+
+    Signatures are shuffled with two numbers each and without sketches. Rows of one group aren't paired, so that
+    a large group costs its size. Where many groups share a signature, its rows are cut into parts of PART and these
+    compared with each other, which grows with the square of these rows, but is held by no task and gives no row
+    that isn't a link.
+    """
+    least = _least(threshold)
+    sets = signatures(least)
+    buckets = 1 << max(4, (rows.count() * len(sets) // BUCKET).bit_length())
+    signed = rows.mapInArrow(_sign(sets, buckets), "node long, blob binary")
+    met = settle(signed.repartition(max(16, buckets // 4), "node").sortWithinPartitions("node").mapInArrow(_meet, "a long, b long, g long"), "met")
+    one, two = ([F.col("id").alias(c), F.col("grp").alias(f"grp_{c}"), F.col("sketch").alias(f"sketch_{c}")] for c in "ab")
+    pairs = met.where("g is null").select("a", "b").distinct().join(rows.select(*one), "a").join(rows.select(*two), "b")
+    found = pairs.select("grp_a", "sketch_a", "grp_b", "sketch_b").mapInArrow(_verify(least), "a long, b long")
+    hot = met.where("g is not null")
+    if not hot.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("b", "a"))
+        hot = settle(hot.select("g", F.col("a").alias("id"), F.col("b").alias("grp"), F.floor((rank - 1) / PART).alias("own")), "hot")
+        ends = hot.groupBy("g", "own").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+        i, j = (ends.select("g", F.col("own").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}")) for c in "ij")
+        tiles = i.join(j, "g").where("i <= j AND NOT (lo_i = hi_j)").select("g", "i", "j")  # parts are in order of groups
+        first = hot.join(tiles.withColumn("own", F.col("i")), ["g", "own"]).withColumn("second", F.lit(False))
+        second = hot.join(tiles.where("i < j").withColumn("own", F.col("j")), ["g", "own"]).withColumn("second", F.lit(True))
+        sent = first.unionByName(second).join(rows.select("id", "sketch"), "id")
+        sent = sent.select(F.xxhash64("g", "i", "j").alias("node"), "grp", "sketch", "second")
+        found = found.union(sent.repartition("node").sortWithinPartitions("node").mapInArrow(_verify_tiles(least), "a long, b long"))
+    return found.distinct()
+
+
+def near_roots(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
+    """``(key, root)`` of the keys of ``nodes (key, sketch)`` that are like another one: the components of all pairs that
+    agree in ``threshold`` of the values. Chosen paths find most of them and make the groups between which
+    ``missed_links`` has to look."""
+    roots = settle(components(chosen_path_edges(nodes, threshold, trees)), "roots")
+    roots = roots.select(F.col("node").alias("key"), "root")
+    ids = settle(nodes.select("key", F.monotonically_increasing_id().alias("id")), "numbers")
+    grp = roots.join(ids.select(F.col("key").alias("root"), F.col("id").alias("grp")), "root").select("key", "grp")
+    rows = nodes.join(ids, "key").join(grp, "key", "left").select("id", F.coalesce("grp", "id").alias("grp"), "sketch")
+    links = settle(missed_links(settle(rows, "numbered"), threshold), "links")
+    if links.isEmpty():
+        return roots
+    for c in "ab":
+        links = links.join(ids.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}")), c)
+    merged = settle(components(links, "key_a", "key_b"), "merged").select(F.col("node").alias("was"), F.col("root").alias("now"))
+    known = roots.join(merged, F.col("root") == F.col("was"), "left").select("key", F.coalesce("now", "root").alias("root"))
+    alone = merged.join(roots.select(F.col("key").alias("was")), "was", "left_anti").select(F.col("was").alias("key"), F.col("now").alias("root"))
+    return settle(known.union(alone), "roots")
+
+
 def _count(threshold: float):
     """``(key, n)`` of rows that come sorted by tile: how many others of its tile each agrees with; in a tile of two
     parts, only those of the other part."""
@@ -321,7 +545,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``row`` stands for the (id, text) in 16 bytes, ``copies`` counts the rows that have them, and
     ``group_id, group_row`` name the row that its group keeps. Groups are the connected components of the
-    pairs of which the sketches agree in ``threshold``; each keeps the row of the least id (ties: the least
+    pairs of which the sketches agree in ``threshold``, and of all of them; each keeps the row of the least id (ties: the least
     key; a null id comes last). Equal texts are one sketch and no link. Texts without a word go only with equal
     texts; a row of null text is alone; very long texts are sketched whole. Other columns of ``docs`` may have any
     names and don't matter; no rows give no rows.
@@ -332,7 +556,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = src.select("doc_id", "text", row_key("doc_id", "text").alias("row"))
     sk = settle(src.mapInArrow(_sketches, f"doc_id {kind}, row binary, some boolean, key binary, sketch binary"), "sketches")
     nodes = settle(sk.where("some").groupBy("key").agg(F.first("sketch").alias("sketch")), "nodes")
-    roots = components(chosen_path_edges(nodes, threshold, trees)).withColumnRenamed("node", "key")
+    roots = near_roots(nodes, threshold, trees)
     rows = sk.groupBy("doc_id", "row", "key").agg(F.count(F.lit(1)).alias("copies"))
     more = []
     if links:

@@ -4,6 +4,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestrata.llm import neardup
@@ -111,6 +112,68 @@ def test_recall_at_the_threshold_under_a_shared_passage(spark):
     assert not set(root) & set(range(2 * pairs, n))  # the rest have only the passage in common
 
 
+def roots_of_all_pairs(s):
+    """The first row of each row's component, and how many rows each row is like, from all pairs."""
+    like = (neardup._agree(s, s) >= neardup._least(neardup.THRESHOLD)) & ~np.eye(len(s), dtype=bool)
+    root = np.arange(len(s))
+    while True:
+        low = np.minimum(root, np.where(like, root[None], len(s)).min(axis=1))
+        if (low == root).all():
+            return root, like.sum(axis=1)
+        root = low
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """1,500 pairs of texts, each like nothing else, that agree in about the threshold: a miss leaves both alone."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(1_500):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 120)]
+        rows += [(2 * k, " ".join(w[:80])), (2 * k + 1, " ".join(w[: 58 + k % 5] + w[98 + k % 5 :]))]
+    s, _ = neardup.sketch_array(pa.array([t for _, t in rows]))
+    root, links = roots_of_all_pairs(s)
+    assert 500 < links.sum() / 2 < 1_400
+    got = {r.doc_id: (r.group_id, r.links) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (root[k], links[k]) for k in range(len(rows))}
+
+
+def test_signatures_that_many_groups_share_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MANY", 2)
+    monkeypatch.setattr(neardup, "PART", 16)
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 256, neardup.SIZE)
+    s = np.where(rng.random((600, neardup.SIZE)) < 0.65, passage, rng.integers(0, 256, (600, neardup.SIZE))).astype(np.uint8)
+    s[:100] = np.where(rng.random((100, neardup.SIZE)) < 0.9, s[0], s[:100])  # near copies
+    for k in range(100, 300):  # pairs that agree in the least and in one value less
+        differ = rng.permutation(neardup.SIZE)[: neardup.SIZE - neardup._least(neardup.THRESHOLD) + k % 2]
+        s[k + 200] = s[k]
+        s[k + 200, differ] += rng.integers(1, 256, len(differ)).astype(np.uint8)
+    nodes = spark.createDataFrame([(k.to_bytes(16, "big"), bytearray(r.tobytes())) for k, r in enumerate(s)], "key binary, sketch binary")
+    root, links = roots_of_all_pairs(s)
+    assert all(root[100:300] == np.arange(100, 300)) and all(root[300:500] == np.where(np.arange(200) % 2, np.arange(300, 500), np.arange(100, 300)))
+    got = {int.from_bytes(r.key, "big"): int.from_bytes(r.root, "big") for r in neardup.near_roots(nodes, trees=1).collect()}
+    assert got == {k: root[k] for k in range(600) if links[k]}
+
+
+@pytest.mark.parametrize("least", [100, 154, 180, 200, 231, 256])
+def test_sketches_that_agree_enough_share_a_signature(least):
+    sets = neardup.signatures(least)
+    parts = [np.unique(p) for p in _parts(sets)]
+    differ = sum(len(p) - neardup.SHARED + 1 for p in parts)  # the least that a pair without a signature in common differs in
+    assert len(np.unique(np.concatenate(parts))) == sum(map(len, parts)) and differ > neardup.SIZE - least
+
+
+def _parts(sets):
+    """Coordinates that are in sets together."""
+    parts = []
+    for s in map(set, sets.tolist()):
+        if parts and parts[-1] & s:
+            parts[-1] |= s
+        else:
+            parts.append(s)
+    return [np.array(sorted(p)) for p in parts]
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = neardup.near_duplicates(odd_docs).collect()
     assert len(got) == 10  # distinct (id, text)
