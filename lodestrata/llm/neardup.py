@@ -454,7 +454,7 @@ def missed_links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = signatures(least)
     buckets = 1 << max(4, (rows.count() * len(sets) // BUCKET).bit_length())
     signed = rows.mapInArrow(_sign(sets, buckets), "node long, blob binary")
-    met = settle(signed.repartition(max(16, buckets // 4), "node").sortWithinPartitions("node").mapInArrow(_meet, "a long, b long, g long"), "met")
+    met = settle(signed.repartitionById(buckets, F.col("node").cast("int")).sortWithinPartitions("node").mapInArrow(_meet, "a long, b long, g long"), "met")
     one, two = ([F.col("id").alias(c), F.col("grp").alias(f"grp_{c}"), F.col("sketch").alias(f"sketch_{c}")] for c in "ab")
     pairs = met.where("g is null").select("a", "b").distinct().join(rows.select(*one), "a").join(rows.select(*two), "b")
     found = pairs.select("grp_a", "sketch_a", "grp_b", "sketch_b").mapInArrow(_verify(least), "a long, b long")

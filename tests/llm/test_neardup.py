@@ -123,7 +123,7 @@ def roots_of_all_pairs(s):
         root = low
 
 
-def test_no_pair_at_the_threshold_is_missed(spark):
+def pairs_at_the_threshold():
     """1,500 pairs of texts, each like nothing else, that agree in about the threshold: a miss leaves both alone."""
     rng = np.random.default_rng(11)
     rows = []
@@ -133,6 +133,11 @@ def test_no_pair_at_the_threshold_is_missed(spark):
     s, _ = neardup.sketch_array(pa.array([t for _, t in rows]))
     root, links = roots_of_all_pairs(s)
     assert 500 < links.sum() / 2 < 1_400
+    return rows, root, links
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    rows, root, links = pairs_at_the_threshold()
     got = {r.doc_id: (r.group_id, r.links) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: (root[k], links[k]) for k in range(len(rows))}
 

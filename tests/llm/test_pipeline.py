@@ -6,6 +6,7 @@ import corpus_pipeline
 from lodestrata.llm import packing, pieces, secrets
 
 from ..conftest import DATA
+from .test_neardup import pairs_at_the_threshold
 
 
 def test_stages_are_in_order_and_named():
@@ -48,6 +49,13 @@ def test_every_stage_acts_on_all_that_was_kept(spark, tmp_path):
     assert secrets.findings(docs).count() == 0
 
 
+def test_near_dedup_keeps_one_of_every_pair_at_the_threshold(spark):
+    rows, root, _ = pairs_at_the_threshold()
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    kept = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root.tolist()))
+
+
 def test_odd_rows_go_through_every_stage(spark, odd_docs, no_docs, tmp_path):
     sf = str(DATA / "sf0.001")
     left = {}
