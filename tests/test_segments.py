@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -362,3 +362,19 @@ def test_what_has_no_form_is_an_error():
     assert codec.to_lz4.arrays(pa.array(["é", None, ""])).to_pylist()[1] is None
     with pytest.raises(ValueError):
         codec.put_varied(-1)
+
+
+@pytest.fixture(scope="module")
+def one_large_partition(spark, tmp_path_factory):
+    """An index of a single partition with more rows than a segment may have."""
+    path, n = str(tmp_path_factory.mktemp("large")), (1 << 18) + 5
+    rows = spark.range(0, n, 1, 1).selectExpr("id", "array(int(id % 50), int(id % 11)) AS box")
+    return path, n, W.write_index(rows, path, [Field("id", dv="numeric"), Field("box", points=4, dims=2)])
+
+
+def test_points_of_a_large_partition_are_written_segment_by_segment(spark, one_large_partition):
+    path, n, names = one_large_partition
+    assert len(names) == 2
+    p = segidx.read(spark, path, "points", ["segment", "doc_id", "dim", "value"]).groupBy("segment", "doc_id").pivot("dim", [0, 1]).max("value")
+    found = {(r["0"], r["1"]): r["count"] for r in p.groupBy("0", "1").count().collect()}
+    assert found == Counter((i % 50, i % 11) for i in range(n))
