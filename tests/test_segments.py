@@ -378,3 +378,9 @@ def test_points_of_a_large_partition_are_written_segment_by_segment(spark, one_l
     p = segidx.read(spark, path, "points", ["segment", "doc_id", "dim", "value"]).groupBy("segment", "doc_id").pivot("dim", [0, 1]).max("value")
     found = {(r["0"], r["1"]): r["count"] for r in p.groupBy("0", "1").count().collect()}
     assert found == Counter((i % 50, i % 11) for i in range(n))
+
+
+def test_trees_have_no_more_points_than_a_segment_may(spark, one_large_partition):
+    path, n, _ = one_large_partition
+    found = segidx.read(spark, path, "points_tree").collect()
+    assert sorted(r["point_count"] for r in found) == [n - W.ROWS, W.ROWS]
