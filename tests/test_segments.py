@@ -384,3 +384,11 @@ def test_trees_have_no_more_points_than_a_segment_may(spark, one_large_partition
     path, n, _ = one_large_partition
     found = segidx.read(spark, path, "points_tree").collect()
     assert sorted(r["point_count"] for r in found) == [n - W.ROWS, W.ROWS]
+
+
+def test_a_range_of_points_goes_over_all_segments_of_a_partition(spark, one_large_partition):
+    path, n, names = one_large_partition
+    p = segidx.read(spark, path, "points", ["segment", "field_name", "dim", "value"]).where("field_name = 'box' AND dim = 0 AND value >= 3 AND value <= 5")
+    found = p.groupBy("value").count().collect()
+    assert {r["value"]: r["count"] for r in found} == {v: len(range(v, n, 50)) for v in (3, 4, 5)}
+    assert {r["segment"] for r in p.select("segment").distinct().collect()} <= set(names) and len(names) == 2
