@@ -392,3 +392,10 @@ def test_a_range_of_points_goes_over_all_segments_of_a_partition(spark, one_larg
     found = p.groupBy("value").count().collect()
     assert {r["value"]: r["count"] for r in found} == {v: len(range(v, n, 50)) for v in (3, 4, 5)}
     assert {r["segment"] for r in p.select("segment").distinct().collect()} <= set(names) and len(names) == 2
+
+
+def test_numbers_of_a_large_partition_come_in_parts(spark, one_large_partition):
+    path, n, names = one_large_partition
+    v = segidx.read(spark, path, "dv_values", ["segment", "doc_id", "long_value"])
+    assert sorted(r["count"] for r in v.groupBy("segment").count().collect()) == [n - W.ROWS, W.ROWS]
+    assert v.selectExpr("count(DISTINCT long_value) AS n", "min(long_value) AS low", "max(long_value) AS high").first() == (n, 0, n - 1)
