@@ -399,3 +399,19 @@ def test_numbers_of_a_large_partition_come_in_parts(spark, one_large_partition):
     v = segidx.read(spark, path, "dv_values", ["segment", "doc_id", "long_value"])
     assert sorted(r["count"] for r in v.groupBy("segment").count().collect()) == [n - W.ROWS, W.ROWS]
     assert v.selectExpr("count(DISTINCT long_value) AS n", "min(long_value) AS low", "max(long_value) AS high").first() == (n, 0, n - 1)
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """An index of a single partition with more bytes than a segment may have, in few rows."""
+    path = str(tmp_path_factory.mktemp("long"))
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat(concat('the w', id, ' '), 70000) AS text", "encode(concat('k', id % 3), 'UTF-8') AS kind")
+    names = W.write_index(rows, path, [Field("id", dv="numeric"), Field("text", options=2), Field("kind", dv="sorted")])
+    return path, names
+
+
+def test_postings_of_long_texts_are_written_segment_by_segment(spark, long_texts):
+    path, names = long_texts
+    assert len(names) > 1
+    p = segidx.read(spark, path, "postings").where("term = CAST('the' AS BINARY)")
+    assert p.selectExpr("count(*) AS docs", "sum(freq) AS freq", "count(DISTINCT segment) AS segments").first() == (40, 40 * 70_000, len(names))
