@@ -415,3 +415,9 @@ def test_postings_of_long_texts_are_written_segment_by_segment(spark, long_texts
     assert len(names) > 1
     p = segidx.read(spark, path, "postings").where("term = CAST('the' AS BINARY)")
     assert p.selectExpr("count(*) AS docs", "sum(freq) AS freq", "count(DISTINCT segment) AS segments").first() == (40, 40 * 70_000, len(names))
+
+
+def test_every_segment_of_a_partition_describes_its_columns(spark, long_texts):
+    path, names = long_texts
+    found = Counter((r["field_name"], r["field_type"], r["role"]) for r in segidx.read(spark, path, "dv_meta").collect())
+    assert len(names) > 1 and found == {k: len(names) for k in (("id", "numeric", "numeric"), ("kind", "sorted", "binary"), ("kind", "sorted", "ord"))}
