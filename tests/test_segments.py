@@ -421,3 +421,11 @@ def test_every_segment_of_a_partition_describes_its_columns(spark, long_texts):
     path, names = long_texts
     found = Counter((r["field_name"], r["field_type"], r["role"]) for r in segidx.read(spark, path, "dv_meta").collect())
     assert len(names) > 1 and found == {k: len(names) for k in (("id", "numeric", "numeric"), ("kind", "sorted", "binary"), ("kind", "sorted", "ord"))}
+
+
+def test_columnar_values_of_all_segments_of_a_partition(spark, long_texts):
+    path, names = long_texts
+    rows = segidx.read(spark, path, "dv_values").collect()
+    kind = {(r["segment"], r["doc_id"]): bytes(r["bin_value"]) for r in rows if r["field_name"] == "kind"}
+    ids = {(r["segment"], r["doc_id"]): r["long_value"] for r in rows if r["field_name"] == "id"}
+    assert len(names) > 1 and {ids[k]: v for k, v in kind.items()} == {i: b"k%d" % (i % 3) for i in range(40)}
