@@ -429,3 +429,9 @@ def test_columnar_values_of_all_segments_of_a_partition(spark, long_texts):
     kind = {(r["segment"], r["doc_id"]): bytes(r["bin_value"]) for r in rows if r["field_name"] == "kind"}
     ids = {(r["segment"], r["doc_id"]): r["long_value"] for r in rows if r["field_name"] == "id"}
     assert len(names) > 1 and {ids[k]: v for k, v in kind.items()} == {i: b"k%d" % (i % 3) for i in range(40)}
+
+
+def test_terms_of_all_segments_of_a_partition(spark, long_texts):
+    path, names = long_texts
+    t = segidx.read(spark, path, "terms").groupBy("term").sum("doc_freq", "total_term_freq").collect()
+    assert len(names) > 1 and {bytes(r[0]).decode(): tuple(r[1:]) for r in t} == {"the": (40, 40 * 70_000)} | {f"w{i}": (1, 70_000) for i in range(40)}
