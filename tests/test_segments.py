@@ -435,3 +435,9 @@ def test_terms_of_all_segments_of_a_partition(spark, long_texts):
     path, names = long_texts
     t = segidx.read(spark, path, "terms").groupBy("term").sum("doc_freq", "total_term_freq").collect()
     assert len(names) > 1 and {bytes(r[0]).decode(): tuple(r[1:]) for r in t} == {"the": (40, 40 * 70_000)} | {f"w{i}": (1, 70_000) for i in range(40)}
+
+
+def test_a_search_goes_over_all_segments_of_a_partition(spark, long_texts):
+    path, names = long_texts
+    found = segidx.boolean(spark, path, "text", every=["the"], some=["w0", "w1", "w39"], none=["w1"])
+    assert len(names) > 1 and found.count() == 2 and found.select("segment").distinct().count() == 2
