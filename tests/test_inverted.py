@@ -26,3 +26,19 @@ def _want(field: str | None, term: str) -> list[int]:
 def test_differences_give_the_ids_again(docs):
     found = inverted.from_deltas(inverted.posting_lists(_lists(docs))).collect()
     assert sorted((r["field_name"] or "", r["term"], r["doc_id"]) for r in found) == sorted((f or "", t, i) for f in (None, "f") for t in "ab" for i in _want(f, t))
+
+
+def test_blocks_go_over_ranges_and_begin_with_the_last_id_before(docs):
+    lists = inverted.posting_lists(_lists(docs))
+    found = {(r["field_name"], r["term"], r["block"]): (r["base"], r["doc_ids"]) for r in lists.collect()}
+    want = {}
+    for f in (None, "f"):
+        for t in "ab":
+            ids = _want(f, t)
+            want |= {(f, t, k // 128): (ids[k - 1] if k else 0, ids[k : k + 128]) for k in range(0, len(ids), 128)}
+    assert found == want and len(_want(None, "a")) > 128
+
+
+def test_lists_are_shuffled_once(docs):
+    plan = inverted.posting_lists(_lists(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(field_name") == 1 and "Exchange rangepartitioning" not in plan
