@@ -42,3 +42,13 @@ def test_blocks_go_over_ranges_and_begin_with_the_last_id_before(docs):
 def test_lists_are_shuffled_once(docs):
     plan = inverted.posting_lists(_lists(docs))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(field_name") == 1 and "Exchange rangepartitioning" not in plan
+
+
+def test_blocks_of_ids_in_several_ranges_have_their_width(docs):
+    found = {(r["field_name"], r["term"], r["block"]): (r["n"], r["full"], r["bits"]) for r in inverted.posting_blocks(_lists(docs)).collect()}
+    for f in (None, "f"):
+        ids = _want(f, "a")
+        steps = [b - a for a, b in zip([0, *ids], ids)]
+        for k in range(0, len(ids), 128):
+            own = steps[k : k + 128]
+            assert found[f, "a", k // 128] == (len(own), len(own) == 128, max(own).bit_length())
