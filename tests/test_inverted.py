@@ -52,3 +52,8 @@ def test_blocks_of_ids_in_several_ranges_have_their_width(docs):
         for k in range(0, len(ids), 128):
             own = steps[k : k + 128]
             assert found[f, "a", k // 128] == (len(own), len(own) == 128, max(own).bit_length())
+
+
+def test_a_repeated_document_counts_once_and_its_tokens_twice(docs):
+    found = {(r["field_name"], r["term"]): (r["doc_freq"], r["total_term_freq"], r["term_ord"]) for r in inverted.term_ordinals(inverted.term_freqs(_lists(docs))).collect()}
+    assert found == {(f, t): (n := len(_want(f, t)), n * (2 if t == "a" else 4), k) for f in (None, "f") for k, t in enumerate("ab")}
