@@ -57,3 +57,10 @@ def test_blocks_of_ids_in_several_ranges_have_their_width(docs):
 def test_a_repeated_document_counts_once_and_its_tokens_twice(docs):
     found = {(r["field_name"], r["term"]): (r["doc_freq"], r["total_term_freq"], r["term_ord"]) for r in inverted.term_ordinals(inverted.term_freqs(_lists(docs))).collect()}
     assert found == {(f, t): (n := len(_want(f, t)), n * (2 if t == "a" else 4), k) for f in (None, "f") for k, t in enumerate("ab")}
+
+
+def test_statistics_of_documents_without_a_field(docs):
+    found = {r["field_name"]: r for r in inverted.term_fields(docs, F.col("lang"), F.col("doc_id"), F.col("text")).collect()}
+    for f in (None, "f"):
+        r = found[f]
+        assert (r["num_terms"], r["doc_count"], r["sum_doc_freq"], r["min_term"], r["max_term"]) == (2, len(_want(f, "a")), len(_want(f, "a")) + len(_want(f, "b")), "a", "b")
